@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import packing
+from lumenframe.llm import avi, packing, quality, simhash, windows
 from lumenframe.llm.common import table
 
 
+def op2_additive_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_avi_clips(spark, sf_dir):
+    return avi.media_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_golay_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing,)}
+def op10_window_dedup(spark, sf_dir):
+    return windows.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_additive_quality, op3_avi_clips, op5_golay_simhash, op7_best_fit_packing, op10_window_dedup)
+}
 
 ORACLES: dict[str, str] = {}
