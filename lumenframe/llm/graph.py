@@ -7,7 +7,9 @@ shared checkpoint folder, which cuts lineage and survives lost executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import prepare
@@ -52,3 +54,33 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = work.select(F.col("dst").alias("node")).distinct()
     return work.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def link_by_keys(keys: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """(node, key) rows -> (node, component) over links between nodes with a common key.
+
+    ``near`` gives a condition on two node columns that joins apply to candidates; ``verify`` takes the
+    candidate pairs (src, dst) left and returns those that are links. Each node first meets the smallest and
+    the largest node of its keys, which is linear in the rows and settles keys of up to three nodes. Once
+    components of those links are known, only nodes outside a larger key's most frequent component meet the
+    nodes of that key, so that a large group of near copies does not give all its pairs; no link between
+    components is left out.
+    """
+    near = near or (lambda a, b: F.lit(True))
+    verify = verify or (lambda pairs: pairs)
+    keys = keys.checkpoint()
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").checkpoint()
+    wanted = ((F.col("node") != F.col("low")) & near("node", "low")) | ((F.col("node") != F.col("high")) & near("node", "high"))
+    met = keys.withColumnRenamed("key", "own_key").join(ends, (F.col("own_key") == F.col("key")) & wanted)
+    stars = met.select(F.col("node").alias("src"), F.explode(F.array("low", "high")).alias("dst")).where((F.col("src") != F.col("dst")) & near("src", "dst"))
+    stars = verify(stars.distinct()).checkpoint()
+    first = components(stars).withColumnRenamed("component", "known")
+    large = keys.join(ends.where("n > 3").select("key"), "key")
+    placed = large.join(first, "node", "left").select("key", "node", F.coalesce("known", "node").alias("own"))
+    sizes = placed.groupBy("key", "own").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("key").agg(F.max(F.struct("n", "own")).alias("top"), F.count("*").alias("owns")).where("owns > 1").select("key", F.col("top.own").alias("major"))
+    mixed = placed.join(major, "key").checkpoint()
+    minor = mixed.where("own <> major").select(F.col("key").alias("src_key"), F.col("node").alias("src"), F.col("own").alias("src_own"))
+    other = mixed.select("key", F.col("node").alias("dst"), F.col("own").alias("dst_own"), "major")
+    meets = minor.join(other, F.expr("src_key = key and src_own <> dst_own and (dst_own = major or src < dst)") & near("src", "dst")).select("src", "dst")
+    return components(stars.union(verify(meets.distinct())))

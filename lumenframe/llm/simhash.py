@@ -7,10 +7,8 @@ Each fingerprint therefore flips each single bit of a segment pair, decodes both
 perfect (23,12) Golay code, and keeps the distinct pairs of 12-bit codeword indices as keys; any two
 fingerprints within 4 bits share a key. Candidates with a common key are verified on all 64 bits.
 
-Keys are joined on distinct fingerprints only, so that copies of a text cost one row. Links inside a
-bucket are first made to the bucket's smallest fingerprint, linear in the bucket; after components of
-those links are known, only members outside a bucket's most frequent component meet the rest, so that
-a large group of near copies does not give all its pairs. No link between components is lost by it.
+Keys are joined on distinct fingerprints only, so that copies of a text cost one row; see
+``graph.link_by_keys`` for how large groups of near copies are kept from giving all their pairs.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and links like any
 other; a text with fewer than four words has its word sequence as its one shingle; repeated rows stay
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import WORD, documents, per_batch, prepare
-from lumenframe.llm.graph import components
+from lumenframe.llm.graph import link_by_keys
 
 SHINGLE = 4
 SEED = 42
@@ -125,32 +123,13 @@ def bucket_keys(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(per_batch(make), "fp long, key int")
 
 
-def _near(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
-
-
 def linked(fps: DataFrame) -> DataFrame:
     """Distinct ``fp`` -> (fp, root): the smallest fp (signed) of its component; fps alone are left out."""
-    keys = bucket_keys(fps).checkpoint()
-    leaders = keys.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last")
-    stars = (
-        keys.join(leaders, "key").select("fp", F.explode(F.array("lead", "last")).alias("other"))
-        .where((F.col("fp") != F.col("other")) & _near("fp", "other")).select(F.col("fp").alias("src"), F.col("other").alias("dst"))
-    )
-    stars = stars.distinct().checkpoint()
-    first = components(stars)
-    # what the leaders did not join: members outside a bucket's most frequent component meet the bucket
-    placed = keys.join(first.select(F.col("node").alias("fp"), "component"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("major"))
-    mixed = placed.join(major, "key").checkpoint()
-    minor = mixed.where("comp <> major").select("key", F.col("fp").alias("src"), F.col("comp").alias("own"))
-    meets = (
-        minor.join(mixed.select("key", F.col("fp").alias("dst"), F.col("comp").alias("other"), "major"), "key")
-        .where((F.col("own") != F.col("other")) & _near("src", "dst") & ((F.col("other") == F.col("major")) | (F.col("src") < F.col("dst"))))
-        .select("src", "dst")
-    )
-    return components(stars.union(meets.distinct())).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+
+    def near(a: str, b: str):
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+
+    return link_by_keys(bucket_keys(fps).withColumnRenamed("fp", "node"), near=near).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
