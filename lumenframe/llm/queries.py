@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import avi, packing, quality, simhash, windows
+import corpus_pipeline
+from lumenframe.llm import avi, lines, mixing, packing, quality, secret_scan, simhash, spotsigs, suffixes, windows
 from lumenframe.llm.common import table
 
 
+def op1_secret_forest(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_additive_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -14,21 +19,48 @@ def op3_avi_clips(spark, sf_dir):
     return avi.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_spotsigs(spark, sf_dir):
+    return spotsigs.with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_golay_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sparse_suffixes(spark, sf_dir):
+    return suffixes.passages(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_temperature_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("mark")
+
+
+def op9_line_chunks(spark, sf_dir):
+    return lines.remove_repeats(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_window_dedup(spark, sf_dir):
     return windows.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_additive_quality, op3_avi_clips, op5_golay_simhash, op7_best_fit_packing, op10_window_dedup)
-}
+    for f in (
+        op1_secret_forest, op2_additive_quality, op3_avi_clips, op4_spotsigs, op5_golay_simhash, op6_sparse_suffixes, op7_best_fit_packing,
+        op8_temperature_mixing, op9_line_chunks, op10_window_dedup, pipeline,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_spotsigs": spotsigs.ORACLE,
+    "op8_temperature_mixing": mixing.ORACLE,
+    "op9_line_chunks": lines.ORACLE,
+}

@@ -36,12 +36,63 @@ BUCKET = 3_000_000
 LAST = (1 << 63) - 1
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("mark", pa.binary()), ("pos", pa.binary())])
+_STARTS = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("starts", pa.binary())])
 
 
-def _of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
+def _turns(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before, and row 0."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    differs = np.ones(len(columns[0]), bool)
+    differs[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(differs)
+
+
+def _parts(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows that are alike in all columns."""
+    edges = _turns(*columns).tolist()
+    return list(zip(edges, [*edges[1:], len(columns[0])], strict=False))
+
+
+def pack(bucket: np.ndarray, h: np.ndarray, doc: np.ndarray, mark: np.ndarray, pos: np.ndarray):
+    """One row for each bucket; within it, rows stay as they come, a document's beside each other once."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, h, doc, mark, pos = bucket[order], h[order], doc[order], mark[order], pos[order].astype("<i4")
+    rows: list[list] = [[], [], [], [], []]
+    for a, b in _parts(bucket):
+        turn = _turns(doc[a:b], mark[a:b])
+        count = np.diff(np.append(turn, b - a))
+        values = bucket[a], h[a:b].tobytes(), np.concatenate([doc[a:b][turn], count]).tobytes(), mark[a:b][turn].tobytes(), pos[a:b].tobytes()
+        for column, value in zip(rows, values, strict=True):
+            column.append(value)
+    if rows[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PACKED, strict=True)], schema=_PACKED)
+
+
+def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, doc, mark, pos) of all rows of packed ones."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for r in range(table.num_rows):
+        ids, count = np.split(np.frombuffer(table["doc"][r].as_py(), np.int64), 2)
+        values = np.frombuffer(table["hash"][r].as_py(), np.uint64), np.repeat(ids, count), np.repeat(np.frombuffer(table["mark"][r].as_py(), np.int64), count), np.frombuffer(table["pos"][r].as_py(), "<i4")
+        for column, value in zip(out, values, strict=True):
+            column.append(value)
+    return tuple(np.concatenate(x) for x in out)
+
+
+def by_document(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> pa.Table:
+    """One row (doc, mark, starts) for each document."""
+    order = np.lexsort((pos, mark, doc))
+    doc, mark, pos = doc[order], mark[order], pos[order].astype("<i4")
+    edges = _turns(doc, mark)
+    starts = [pos[a:b].tobytes() for a, b in _parts(doc, mark)]
+    return pa.table([pa.array(doc[edges]), pa.array(mark[edges]), pa.array(starts, pa.binary())], schema=_STARTS)
+
+
 def _smallest(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each row, the smallest document of its hash."""
     order = np.argsort(hashes, kind="stable")
@@ -53,45 +104,14 @@ def _smallest(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray):
-    """One row (doc, mark, starts) for each document."""
-    if not len(doc):
-        return
-    order = np.lexsort((pos, mark, doc))
-    doc, mark, pos = doc[order], mark[order], pos[order].astype("<i4")
-    edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]))
-    ends = np.append(edges[1:], len(doc))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[edges]), pa.array(mark[edges]), pa.array([pos[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary())],
-        names=["doc", "mark", "starts"],
-    )
-
-
 def _hash_windows(window: int, buckets: int):
     """For mapInArrow: packed windows by bucket, in buckets below 0, by document, those already known to be repeated."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]):
         h, doc, mark, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
         known = doc > _smallest(h, doc)
-        for batch in _rows(doc[known], mark[known], pos[known]):
-            n = batch.num_rows
-            own = -1 - _of(mix(np.asarray(batch.column(0)).astype(np.uint64)), buckets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.nulls(n, pa.binary()), pa.array([x.tobytes() for x in np.asarray(batch.column(0))], pa.binary()), pa.array([x.tobytes() for x in np.asarray(batch.column(1))], pa.binary()), batch.column(2)],
-                schema=_PACKED,
-            )
-        h, doc, mark, pos = h[~known], doc[~known], mark[~known], pos[~known]
-        bucket = _of(h, buckets)
-        order = np.argsort(bucket, kind="stable")  # within a bucket by document and place, which packs well
-        bucket, h, doc, mark, pos = bucket[order], h[order], doc[order], mark[order], pos[order]
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else []
-        rows: list[list] = [[], [], [], [], []]
-        for a, b in zip(edges, [*edges[1:], len(h)], strict=True):
-            turn = np.flatnonzero(np.concatenate([[True], (doc[a + 1 : b] != doc[a : b - 1]) | (mark[a + 1 : b] != mark[a : b - 1])]))
-            count = np.diff(np.append(turn, b - a))
-            for column, value in zip(rows, (bucket[a], h[a:b].tobytes(), np.concatenate([doc[a:b][turn], count]).tobytes(), mark[a:b][turn].tobytes(), pos[a:b].astype("<i4").tobytes()), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PACKED, strict=True)], schema=_PACKED)
+        yield from pack(-1 - bucket_of(mix(doc[known].astype(np.uint64)), buckets), h[known], doc[known], mark[known], pos[known])
+        yield from pack(bucket_of(h[~known], buckets), h[~known], doc[~known], mark[~known], pos[~known])
 
     def run(batches):
         parts, size = [], 0
@@ -119,21 +139,9 @@ def _hash_windows(window: int, buckets: int):
 
 def _count(table: pa.Table) -> pa.Table:
     """Of one bucket: the starts of windows that also occur in a smaller document."""
-    h, doc, mark, pos = [], [], [], []
-    for r in range(table.num_rows):
-        one = np.frombuffer(table["hash"][r].as_py(), np.uint64)
-        ids, count = np.split(np.frombuffer(table["doc"][r].as_py(), np.int64), 2)
-        h.append(one)
-        doc.append(np.repeat(ids, count))
-        mark.append(np.repeat(np.frombuffer(table["mark"][r].as_py(), np.int64), count))
-        pos.append(np.frombuffer(table["pos"][r].as_py(), "<i4"))
-    h, doc, mark, pos = (np.concatenate(x) for x in (h, doc, mark, pos))
-    again = doc > _smallest(h, doc)
-    out = list(_rows(doc[again], mark[again], pos[again]))
-    return pa.Table.from_batches(out, _STARTS)
-
-
-_STARTS = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("starts", pa.binary())])
+    h, doc, mark, pos = unpack(table)
+    again = doc > _smallest(h, doc) if table["bucket"][0].as_py() >= 0 else np.ones(len(doc), bool)
+    return by_document(doc[again], mark[again], pos[again])
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,14 +152,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // (6 * BUCKET)))  # a word and its space take about 6 bytes
     packed = docs.mapInArrow(_hash_windows(window, int(buckets)), "bucket int, hash binary, doc binary, mark binary, pos binary")
-    return packed.groupBy("bucket").applyInArrow(_count_or_pass, "doc long, mark long, starts binary")
-
-
-def _count_or_pass(table: pa.Table) -> pa.Table:
-    if table["bucket"][0].as_py() >= 0:
-        return _count(table)
-    ids = [np.frombuffer(b"".join(x.as_py() for x in table[c]), np.int64) for c in ("doc", "mark")]
-    return pa.table([*(pa.array(x) for x in ids), table["pos"]], schema=_STARTS)
+    return packed.groupBy("bucket").applyInArrow(_count, "doc long, mark long, starts binary")
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
