@@ -32,25 +32,14 @@ BLOCK_TOKENS = 65_536
 MILLION = 1_000_000
 
 
-def _at(totals: DataFrame, exponents: list[int]) -> list[tuple[float, float]]:
+def _at(totals: DataFrame, exponents: set[int]) -> dict[int, tuple[float, float]]:
     """For each exponent (in millionths) the weights' entropy and the most epochs of a source when every
-    source is used at least once."""
-    columns = []
-    for k, a in enumerate(exponents):
-        x = a / MILLION
-        u = F.pow("share", F.lit(x))
-        columns += [F.sum(u).alias(f"z{k}"), F.sum(u * F.log("share") * x).alias(f"e{k}"), F.max(F.pow("share", F.lit(x - 1))).alias(f"h{k}"), F.min(F.pow("share", F.lit(x - 1))).alias(f"l{k}")]
-    r = totals.agg(*columns).first()
-    return [(math.log(r[f"z{k}"]) - r[f"e{k}"] / r[f"z{k}"], r[f"h{k}"] / r[f"l{k}"]) for k in range(len(exponents))]
-
-
-def _narrow(totals: DataFrame, test) -> int:
-    """The largest exponent in millionths for which ``test`` holds, given that it holds up to some point."""
-    low = 0
-    for step in (10_000, 100, 1):
-        tried = [a for a in range(low, min(MILLION, low + 100 * step) + 1, step)]
-        low = max([low, *(a for a, x in zip(tried, _at(totals, tried), strict=True) if test(*x))])
-    return low
+    source is used at least once. One aggregate, a row for each source and exponent."""
+    x = F.col("a") / MILLION
+    u = F.pow("share", x)
+    tried = totals.select("share", F.explode(F.array(*(F.lit(a) for a in sorted(exponents)))).alias("a"))
+    sums = tried.groupBy("a").agg(F.sum(u).alias("z"), F.sum(u * F.log("share") * x).alias("e"), F.max(F.pow("share", x - 1)).alias("high"), F.min(F.pow("share", x - 1)).alias("low"))
+    return {r["a"]: (math.log(r["z"]) - r["e"] / r["z"], r["high"] / r["low"]) for r in sums.collect()}  # a row for each exponent
 
 
 def exponent(totals: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> int:
@@ -58,11 +47,13 @@ def exponent(totals: DataFrame, entropy: float = ENTROPY, repeats: float = REPEA
     n = totals.count()
     if n < 2:
         return MILLION
-    flat = _narrow(totals, lambda e, _: e >= entropy * math.log(n))
-    few = _narrow(totals, lambda _, r: r > repeats)  # the last that repeats too often
-    if _at(totals, [few])[0][1] > repeats:
-        few += 1
-    return max(flat, min(few, MILLION))
+    flat = few = 0  # the last that is flat enough, the last that repeats too often (0: perhaps none)
+    for step in (10_000, 100, 1):
+        near = [{a for a in range(low, min(MILLION, low + 100 * step) + 1, step)} for low in (flat, few)]
+        found = _at(totals, near[0] | near[1])
+        flat = max([flat, *(a for a in near[0] if found[a][0] >= entropy * math.log(n))])
+        few = max([few, *(a for a in near[1] if found[a][1] > repeats)])
+    return max(flat, min(MILLION, few + 1 if found[few][1] > repeats else few))
 
 
 def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

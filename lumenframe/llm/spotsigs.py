@@ -52,9 +52,10 @@ def signatures(text: Column, anchors: tuple[str, ...] | list[str] = ANCHORS, cha
     skip = rf"(?: {_MARK}[^ ]+)*+"
     follow = rf"{skip} ([^ {_MARK}][^ ]*)" + "".join(rf"(?:{skip} ([^ {_MARK}][^ ]*))?" for _ in range(chain - 1))
     beside = F.regexp_replace(marked, rf"{_MARK}([^ ]+)(?={follow})", F.lit(_OPEN + "$1" + "".join(f" ${k + 2}" for k in range(chain)) + _CLOSE))
-    parts = F.split(beside, _OPEN)
-    chains = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.substring(F.md5(F.substring_index(p, _CLOSE, 1)), 1, 8))
-    return F.when(F.contains(beside, F.lit(_OPEN)), F.array_sort(F.array_distinct(chains))).otherwise(F.array(F.substring(F.md5(F.concat(F.lit("= "), plain)), 1, 8)))
+    digest = lambda x: F.substring(F.md5(x), 1, 8)
+    chains = F.array_compact(F.transform(F.split(beside, _OPEN), lambda p: F.when(F.contains(p, F.lit(_CLOSE)), digest(F.substring_index(p, _CLOSE, 1)))))
+    # the lambda names the set, so that nothing before is worked out twice
+    return F.transform(F.array(F.sort_array(F.array_distinct(chains))), lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(digest(F.concat(F.lit("= "), plain)))))[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -128,7 +129,7 @@ def near_duplicates(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
         sized = pairs.distinct().join(a, "src").join(b, "dst").where(F.least("na", "nb") >= F.lit(alike) * F.greatest("na", "nb") - 1e-9)
         return sized.where(likeness(F.col("a"), F.col("b")) >= alike - 1e-12).select("src", "dst")
 
-    roots = link_by_keys(keys.distinct(), verify)
+    roots = link_by_keys(keys.distinct(), verify).withColumnRenamed("component", "root")
     named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("low").alias("class_id"))
     return made.select("doc_id", "node").join(named.join(ids, "root").select("node", "class_id"), "node").select("doc_id", "class_id")
