@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import documents, per_batch, prepare
-from lumenframe.llm.windows import LAST, bucket_of, by_document, pack, unpack
-from lumenframe.llm.words import Words, chunks, rolling
+from lumenframe.llm.windows import LAST, PACKED, STARTS, bucket_of, by_document, by_part, pack, sizes, unpack
+from lumenframe.llm.words import Words, chunks, mix, rolling
 
 WORDS, SPAN, GRAM = 50, 20, 3
 #: What suffixes are sorted by.
@@ -58,27 +58,30 @@ def retained(words: Words, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarr
     return owner[at], at
 
 
-def _first_of_run(h: np.ndarray, doc: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row whether it is the first of its hash by (doc, mark, pos), and how many the hash has."""
+def _in_order(h: np.ndarray, doc: np.ndarray, mark: np.ndarray, pos: np.ndarray, below: int = 0):
+    """The rows by (hash, doc, mark, place), each once (the lowest ``below`` bits apart), with whether each is its hash's first and how many
+    the hash has."""
     order = np.lexsort((pos, mark, doc, h))
-    s = h[order]
-    fresh = np.concatenate([[True], s[1:] != s[:-1]])
-    count = np.diff(np.append(np.flatnonzero(fresh), len(s)))
-    first, many = np.empty(len(h), bool), np.empty(len(h), np.int64)
-    first[order], many[order] = fresh, np.repeat(count, count)
-    return first, many
+    h, doc, mark, pos = h[order], doc[order], mark[order], pos[order]
+    fresh = np.concatenate([[True], h[1:] != h[:-1]])
+    own = fresh.copy()
+    own[1:] |= (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (pos[1:] >> below != pos[:-1] >> below)
+    h, doc, mark, pos, fresh = h[own], doc[own], mark[own], pos[own], fresh[own]
+    count = np.diff(np.append(np.flatnonzero(fresh), len(h)))
+    return h, doc, mark, pos, fresh, np.repeat(count, count)
 
 
 def _sample(run: int, span: int, gram: int, buckets: int):
     """Packed rows of retained suffixes. Later ones of a hash within a flush go to the buckets below 0; the
-    first goes to its hash's bucket, with its lowest place bit telling whether others were there."""
+    first goes to its hash's bucket, its place doubled, plus one if it was alone there."""
 
     def flush(parts):
-        h, doc, mark, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        first, many = _first_of_run(h, doc, mark, pos)
+        h, doc, mark, pos, first, many = _in_order(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        place = np.lexsort((pos, mark, doc))  # packs well
+        h, doc, mark, pos, first, many = (x[place] for x in (h, doc, mark, pos, first, many))
         later = ~first
-        yield from pack(-1 - bucket_of(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), buckets)[later], h[later], doc[later], mark[later], pos[later] * 2 + 1)
-        yield from pack(bucket_of(h, buckets)[first], h[first], doc[first], mark[first], pos[first] * 2 + (many[first] > 1))
+        yield from pack(-1 - bucket_of(mix(doc[later].astype(np.uint64)), buckets), None, doc[later], mark[later], pos[later] * 2 + 1)
+        yield from pack(bucket_of(h[first], buckets), h[first], doc[first], mark[first], pos[first] * 2 + (many[first] == 1))
 
     def task(batches):
         parts, size = [], 0
@@ -100,15 +103,19 @@ def _sample(run: int, span: int, gram: int, buckets: int):
     return task
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of one bucket: (doc, mark, starts) of the suffixes whose run occurs again; a start is twice the place,
-    plus one if an earlier suffix has the run."""
-    h, doc, mark, pos = unpack(table)
-    if table["bucket"][0].as_py() >= 0:
-        first, many = _first_of_run(h, doc, mark, pos >> 1)
-        again = (many > 1) | (pos & 1 == 1)
-        doc, mark, pos = doc[again], mark[again], ((pos >> 1) * 2 + ~first)[again]
-    return by_document(doc, mark, pos)
+def _repeated(parts: int):
+    """Of one bucket: the suffixes whose run occurs again, as twice the place, plus one if an earlier suffix
+    has the run."""
+
+    def repeated(table: pa.Table) -> pa.Table:
+        h, doc, mark, pos = unpack(table)
+        if table["bucket"][0].as_py() >= 0:
+            _, doc, mark, pos, first, many = _in_order(h, doc, mark, pos, below=1)
+            again = (many > 1) | (pos & 1 == 0)
+            doc, mark, pos = doc[again], mark[again], ((pos >> 1) * 2 + ~first)[again]
+        return by_part(doc, mark, pos, parts)
+
+    return repeated
 
 
 def _contexts(run: int, span: int):
@@ -122,7 +129,7 @@ def _contexts(run: int, span: int):
             sizes = np.diff(words.first)
             rows, places = [], []
             for i in range(len(sizes)):
-                own = np.frombuffer(b"".join(batch.column(3)[row + i].as_py()), "<i4")
+                own = np.frombuffer(batch.column(3)[row + i].as_py(), "<i4")
                 rows.append(np.full(len(own), i))
                 places.append(own)
             owner, place = np.concatenate(rows), np.concatenate(places).astype(np.int64)
@@ -211,12 +218,16 @@ def passages(docs: DataFrame, words: int = WORDS, span: int = SPAN, gram: int =
     prepare(docs.sparkSession)
     run = words - span + 1
     plain = documents(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text", F.xxhash64("text").alias("mark"))
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(1, -(-size // (6 * (span + 1) // 2 * BUCKET))))
-    packed = plain.mapInArrow(_sample(run, span, gram, buckets), "bucket int, hash binary, doc binary, mark binary, pos binary")
-    repeated = packed.groupBy("bucket").applyInArrow(_repeated, "doc long, mark long, starts binary")
-    by_doc = repeated.groupBy("doc", "mark").agg(F.collect_set("starts").alias("starts"))  # of one document
-    suffixes = plain.join(by_doc.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "starts").mapInArrow(per_batch(lambda: _contexts(run, span)), "way int, h long, context binary, doc long, mark long, place int")
+    size, shared_ids, repeated_rows = sizes(plain)
+    if not shared_ids:
+        plain = plain.withColumn("mark", F.lit(0).cast("long"))
+    buckets = max(1, -(-size // (6 * (span + 1) // 2 * BUCKET)))
+    packed = plain.select("doc", "text", "mark").mapInArrow(_sample(run, span, gram, buckets), PACKED)
+    by_doc = packed.groupBy("bucket").applyInArrow(_repeated(buckets), PACKED).groupBy("bucket").applyInArrow(by_document, STARTS)
+    found = plain.join(by_doc.hint("shuffle_hash"), ["doc", "mark"])
+    if repeated_rows:
+        found = found.dropDuplicates(["doc", "mark"])
+    suffixes = found.select("doc", "mark", "text", "starts").mapInArrow(per_batch(lambda: _contexts(run, span)), "way int, h long, context binary, doc long, mark long, place int")
     at, right = F.expr("place >> 1"), F.col("way") == 0
     spans = (
         neighbour_matches(suffixes, span)

@@ -5,8 +5,8 @@
 2. Hashes are counted in Spark by bucket of the hash. A bucket holds a bounded number of windows, however
    often one of them occurs, as a hot window comes once from each run only. Windows travel as packed
    arrays, a row for each bucket and run.
-3. The starts of repeated windows come together by document, are merged into maximal intervals, and the
-   words inside are dropped.
+3. The starts of repeated windows come together by part of the documents, also packed, then by document;
+   they are merged into maximal intervals, and the words inside are dropped.
 
 Windows count as equal if their 64-bit hashes are. With W windows in all, about W * W / 3.7e19 pairs of
 different windows are taken for equal: 0.0003 over 110 million windows.
@@ -35,7 +35,7 @@ FLUSH = 2_000_000
 BUCKET = 3_000_000
 LAST = (1 << 63) - 1
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("mark", pa.binary()), ("pos", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("count", pa.binary()), ("pos", pa.binary())])
 _STARTS = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("starts", pa.binary())])
 
 
@@ -58,41 +58,72 @@ def _parts(*columns: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges, [*edges[1:], len(columns[0])], strict=False))
 
 
-def pack(bucket: np.ndarray, h: np.ndarray, doc: np.ndarray, mark: np.ndarray, pos: np.ndarray):
-    """One row for each bucket; within it, rows stay as they come, a document's beside each other once."""
+def _planes(x: np.ndarray) -> bytes:
+    """First the lowest bytes of all values, then the next ones: small values then compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplanes(data: bytes, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def pack(bucket: np.ndarray, h: np.ndarray | None, doc: np.ndarray, mark: np.ndarray, pos: np.ndarray):
+    """One row for each bucket; within it, rows stay as they come, a document's beside each other once, ids
+    and places as differences."""
     order = np.argsort(bucket, kind="stable")
-    bucket, h, doc, mark, pos = bucket[order], h[order], doc[order], mark[order], pos[order].astype("<i4")
+    bucket, doc, mark, pos = bucket[order], doc[order], mark[order], pos[order].astype("<i4")
+    h = None if h is None else h[order]
     rows: list[list] = [[], [], [], [], []]
     for a, b in _parts(bucket):
         turn = _turns(doc[a:b], mark[a:b])
-        count = np.diff(np.append(turn, b - a))
-        values = bucket[a], h[a:b].tobytes(), np.concatenate([doc[a:b][turn], count]).tobytes(), mark[a:b][turn].tobytes(), pos[a:b].tobytes()
-        for column, value in zip(rows, values, strict=True):
+        ids, count = np.stack([np.diff(doc[a:b][turn], prepend=0), mark[a:b][turn]]), np.diff(np.append(turn, b - a))
+        step = np.diff(pos[a:b], prepend=0)
+        step[turn] = pos[a:b][turn]
+        for column, value in zip(rows, (bucket[a], None if h is None else h[a:b].tobytes(), _planes(ids.ravel()), _planes(count), _planes(step.astype("<i4"))), strict=True):
             column.append(value)
     if rows[0]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PACKED, strict=True)], schema=_PACKED)
 
 
-def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack(table: pa.Table) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, doc, mark, pos) of all rows of packed ones."""
     out: list[list[np.ndarray]] = [[], [], [], []]
-    for r in range(table.num_rows):
-        ids, count = np.split(np.frombuffer(table["doc"][r].as_py(), np.int64), 2)
-        values = np.frombuffer(table["hash"][r].as_py(), np.uint64), np.repeat(ids, count), np.repeat(np.frombuffer(table["mark"][r].as_py(), np.int64), count), np.frombuffer(table["pos"][r].as_py(), "<i4")
+    for h, doc, count, pos in zip(*(table[c].to_pylist() for c in ("hash", "doc", "count", "pos")), strict=True):
+        ids, marks = _unplanes(doc, "<i8").reshape(2, -1)
+        n = _unplanes(count, "<i8")
+        step = _unplanes(pos, "<i4").astype(np.int64)
+        total, turn = np.cumsum(step), np.cumsum(n) - n
+        values = None if h is None else np.frombuffer(h, np.uint64), np.repeat(np.cumsum(ids), n), np.repeat(marks, n), total - np.repeat(total[turn] - step[turn], n)
         for column, value in zip(out, values, strict=True):
             column.append(value)
-    return tuple(np.concatenate(x) for x in out)
+    return tuple(None if x[0] is None else np.concatenate(x) for x in out)
+
+
+def by_part(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray, parts: int) -> pa.Table:
+    """Packed rows by a part of the documents."""
+    order = np.lexsort((pos, mark, doc))
+    doc, mark, pos = doc[order], mark[order], pos[order]
+    return pa.Table.from_batches(list(pack(bucket_of(mix(doc.astype(np.uint64)), parts), None, doc, mark, pos)), _PACKED)
 
 
-def by_document(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> pa.Table:
-    """One row (doc, mark, starts) for each document."""
+def by_document(table: pa.Table) -> pa.Table:
+    """Of one part: a row (doc, mark, starts) for each document, starts in order and once each."""
+    _, doc, mark, pos = unpack(table)
     order = np.lexsort((pos, mark, doc))
     doc, mark, pos = doc[order], mark[order], pos[order].astype("<i4")
-    edges = _turns(doc, mark)
+    keep = np.zeros(len(doc), bool)
+    keep[_turns(doc, mark, pos)] = True
+    doc, mark, pos = doc[keep], mark[keep], pos[keep]
     starts = [pos[a:b].tobytes() for a, b in _parts(doc, mark)]
+    edges = _turns(doc, mark)
     return pa.table([pa.array(doc[edges]), pa.array(mark[edges]), pa.array(starts, pa.binary())], schema=_STARTS)
 
 
+PACKED = "bucket int, hash binary, doc binary, count binary, pos binary"
+STARTS = "doc long, mark long, starts binary"
+
+
 def _smallest(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each row, the smallest document of its hash."""
     order = np.argsort(hashes, kind="stable")
@@ -137,22 +168,31 @@ def _hash_windows(window: int, buckets: int):
     return run
 
 
-def _count(table: pa.Table) -> pa.Table:
+def _count(parts: int):
     """Of one bucket: the starts of windows that also occur in a smaller document."""
-    h, doc, mark, pos = unpack(table)
-    again = doc > _smallest(h, doc) if table["bucket"][0].as_py() >= 0 else np.ones(len(doc), bool)
-    return by_document(doc[again], mark[again], pos[again])
 
+    def count(table: pa.Table) -> pa.Table:
+        h, doc, mark, pos = unpack(table)
+        again = doc > _smallest(h, doc) if table["bucket"][0].as_py() >= 0 else np.ones(len(doc), bool)
+        return by_part(doc[again], mark[again], pos[again], parts)
+
+    return count
+
+
+def sizes(docs: DataFrame) -> tuple[int, bool, bool]:
+    """Bytes of all texts, whether a doc repeats, whether (doc, mark) does. ``docs``: doc, text, mark."""
+    by_text = docs.groupBy("doc", "mark").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size"))
+    by_doc = by_text.groupBy("doc").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("size"))
+    r = by_doc.agg(F.sum("size"), F.max("texts"), F.max("n")).first()
+    return int(r[0] or 0), (r[1] or 0) > 1, (r[2] or 0) > 1
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs``: doc_id, text, mark (a hash of the text) -> (doc, mark, starts): packed int32 window starts.
 
-    A document may have many rows; a start comes up once.
-    """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def repeated_starts(docs: DataFrame, size: int, window: int = WINDOW) -> DataFrame:
+    """``docs``: doc_id, text, mark -> a row (doc, mark, starts) for each document that has repeated windows,
+    starts packed as int32. ``size``: bytes of all texts."""
     buckets = max(1, -(-size // (6 * BUCKET)))  # a word and its space take about 6 bytes
-    packed = docs.mapInArrow(_hash_windows(window, int(buckets)), "bucket int, hash binary, doc binary, mark binary, pos binary")
-    return packed.groupBy("bucket").applyInArrow(_count, "doc long, mark long, starts binary")
+    packed = docs.mapInArrow(_hash_windows(window, buckets), PACKED)
+    return packed.groupBy("bucket").applyInArrow(_count(buckets), PACKED).groupBy("bucket").applyInArrow(by_document, STARTS)
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -167,9 +207,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     """doc_id, n_words, n_removed, kept_sha256 of each row; with ``texts`` also the kept text and the
     removed intervals of words as an array of (start, end)."""
     prepare(docs.sparkSession)
-    plain = documents(docs).select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    starts = repeated_starts(plain, window).groupBy("doc", "mark").agg(F.collect_list("starts").alias("starts"))  # one document's
-    joined = plain.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(starts.hint("shuffle_hash"), ["doc", "mark"], "left").select("doc_id", "text", "starts")
+    plain = documents(docs).withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "mark": F.xxhash64("text")})
+    size, shared_ids, _ = sizes(plain)
+    if not shared_ids:  # then an id tells its text, and a constant packs to nothing
+        plain = plain.withColumn("mark", F.lit(0).cast("long"))
+    starts = repeated_starts(plain.select("doc_id", "text", "mark"), size, window)
+    joined = plain.join(starts.hint("shuffle_hash"), ["doc", "mark"], "left").select("doc_id", "text", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, removed array<struct<start:int,end:int>>" * texts
 
     def run(batches):
@@ -180,7 +223,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
                 for i in range(len(words.first) - 1):
                     a, b = words.first[i], words.first[i + 1]
                     packed = batch.column(2)[row + i].as_py()
-                    gone = covered(b - a, np.frombuffer(b"".join(packed), "<i4").astype(np.int64), window) if packed else np.zeros(b - a, bool)
+                    gone = covered(b - a, np.frombuffer(packed, "<i4").astype(np.int64), window) if packed else np.zeros(b - a, bool)
                     kept = b" ".join(data[s:e] for s, e in zip(words.start[a:b][~gone].tolist(), words.end[a:b][~gone].tolist(), strict=True))
                     turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
                     for column, value in zip(out, (b - a, gone.sum(), hashlib.sha256(kept).hexdigest(), kept.decode(), [{"start": s, "end": e} for s, e in turn.reshape(-1, 2).tolist()]), strict=True):
