@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lumenframe.operators import graph, moments, sequence, summary
+from lumenframe.operators import fitted, graph, moments, sequence, summary
 
-MODULES = (sequence, summary, moments, graph)
+MODULES = (sequence, summary, moments, graph, fitted)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
