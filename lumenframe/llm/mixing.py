@@ -29,6 +29,8 @@ from lumenframe.llm.common import WORD, prepare
 ENTROPY = 0.97  # of the largest possible
 REPEATS = 4.0
 BLOCK_TOKENS = 65_536
+#: Documents that a range of the permutation should hold at most, on average.
+RANGE_ROWS = 4096
 MILLION = 1_000_000
 
 
@@ -63,8 +65,9 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64(text).alias("mark"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens")).checkpoint()
-    sums = tokens.groupBy("source").agg(F.sum("n_tokens").alias("total")).where("total > 0").checkpoint()
-    everything = sums.agg(F.sum("total")).first()[0] or 1
+    sums = tokens.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("rows")).where("total > 0").checkpoint()
+    everything, rows = (x or 1 for x in sums.agg(F.sum("total"), F.sum("rows")).first())
+    digits = max(2, math.ceil(math.log(rows / RANGE_ROWS, 16)))  # of the key, that name a range
     totals = sums.withColumn("share", F.col("total").cast("double") / F.lit(float(everything)))
     x = exponent(totals, entropy, repeats) / MILLION
     u = totals.withColumn("u", F.pow("share", F.lit(x)))
@@ -74,7 +77,7 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     plan = u.select("source", "total", F.round(F.lit(whole) * F.col("u") / F.lit(z or 1.0)).cast("long").alias("budget"))
     plan = plan.select("*", F.expr("budget div total").alias("full"), (F.col("budget") % F.col("total")).alias("rest"))
     uses = tokens.join(plan, "source").where("budget > 0").select("*", F.explode(F.expr("sequence(0L, if(rest > 0, full, full - 1))")).alias("epoch"))
-    keyed = uses.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "epoch"))).withColumn("range", F.substring("key", 1, 2))
+    keyed = uses.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "epoch"))).withColumn("range", F.substring("key", 1, digits))
     ranges = keyed.groupBy("source", "epoch", "range").agg(F.sum("n_tokens").alias("n"))
     earlier = W.partitionBy("source", "epoch").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = ranges.select("source", "epoch", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
