@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenframe.operators import fitted, graph, moments, sequence, summary
+from lumenframe.operators import extensions, fitted, graph, moments, sequence, summary
 from lumenframe.plans import gaussian_task
 
-MODULES = (sequence, summary, moments, graph, fitted, gaussian_task)
+MODULES = (sequence, summary, moments, graph, fitted, extensions, gaussian_task)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
