@@ -7,8 +7,9 @@ the path, and neighbouring words. The forest is Spark ML's; it is trained on lab
 ``SAMPLE`` of them, in one partition and in a fixed order so that a run can be repeated.
 
 Labelled findings come from the caller (``labels``: doc_id, start, is_secret). Without them ``known_labels``
-labels the findings whose nature their format or an assignment beside them settles; that rule looks at
-exact formats that the forest's features don't hold, and leaves the others to the forest.
+labels the findings whose nature their exact format or an assignment beside them settles, and leaves the
+others to the forest. The forest sees such an assignment, too, as counts, so agreement with that rule says
+little of findings of other kinds; given labels are what the operator is for.
 
 Defined results: null and empty texts have no finding; repeated rows give repeated findings; a null doc_id
 stays null; a null path counts as empty; with findings of one label only all get that label, without any
