@@ -63,12 +63,12 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     # an array of (offset gained, text before, finding, text after); sums of gains give the starts
     paired = F.arrays_zip("found", "between", F.slice("between", F.lit(2), F.size("found")).alias("follow"))
     one = cut.select("doc_id", "path", "row", F.posexplode(paired).alias("k", "x")).where("x.found is not null")
-    gained = F.length("x.between") + F.length("x.found")
-    up_to = W.partitionBy("row").orderBy("k")  # the findings of one document
-    return one.select(
-        "doc_id", "path", (F.sum(gained).over(up_to) - F.length("x.found")).cast("long").alias("start"),
-        F.col("x.found").alias("finding"), F.expr(f"right(x.between, {AROUND})").alias("before"), F.expr(f"left(x.follow, {AROUND})").alias("after"),
+    short = one.select(  # only this is shuffled, not the text between
+        "doc_id", "path", "row", "k", (F.length("x.between") + F.length("x.found")).alias("gained"), F.col("x.found").alias("finding"),
+        F.expr(f"right(x.between, {AROUND})").alias("before"), F.expr(f"left(x.follow, {AROUND})").alias("after"),
     )
+    up_to = W.partitionBy("row").orderBy("k")  # the findings of one document
+    return short.select("doc_id", "path", (F.sum("gained").over(up_to) - F.length("finding")).cast("long").alias("start"), "finding", "before", "after")
 
 
 def _count(text: Column, pattern: str) -> Column:
