@@ -38,6 +38,8 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 ALIKE = 0.8
+#: Stands for a null id in the order of documents.
+NO_ID = -(1 << 63)
 #: Parts into which the order of ids is cut; a bound for what the driver sees of it.
 SPLITS = 200
 
@@ -84,25 +86,28 @@ def order_of_documents(keys: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of documents, of their edited texts, and their likeness to these and to the next ones."""
     prepare(docs.sparkSession)
-    text = documents(docs).withColumns({"doc": F.coalesce("doc_id", F.lit(-(1 << 63))), "mark": F.xxhash64("text")})
+    text = documents(docs).withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "mark": F.xxhash64("text")})
     ranked = order_of_documents(text.select("doc", "mark", F.length("text").cast("long").alias("n_chars"))).checkpoint()
     before = ranked.select(((F.col("rank") + 1) % F.col("of")).alias("rank"), F.col("doc").alias("to_doc"), F.col("mark").alias("to_mark"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
     heirs = ranked.join(before, "rank").select("doc", "mark", "to_doc", "to_mark", "take")  # whose text goes to which document
-    dealt = text.withColumn("sigs", signatures(F.col("text"))).repartition("doc", "mark")  # one exchange, used twice
+    # one exchange of the texts, used twice: both sides take the same columns
+    dealt = text.select("doc", "mark", "text").repartition("doc", "mark")
     given = dealt.join(heirs.hint("shuffle_hash"), ["doc", "mark"])
     if (ranked.agg(F.max("rows")).first()[0] or 0) > 1:  # repeated rows give their text once
         given = given.dropDuplicates(["to_doc", "to_mark"])
-    heads = (
-        given.select(F.col("to_doc").alias("doc"), F.col("to_mark").alias("mark"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sigs").alias("next_sigs"))
+    # what goes on to the document before: as much of the text as it takes, and the set in four bytes a signature
+    heads = given.select(
+        F.col("to_doc").alias("doc"), F.col("to_mark").alias("mark"), F.substring("text", F.lit(1), F.col("take")).alias("head"),
+        F.unhex(F.array_join(signatures(F.col("text")), "")).alias("next_set"),
     )
     n = F.length("text")
     edited = (
         dealt.join(heads.hint("shuffle_hash"), ["doc", "mark"])
-        .select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "head").alias("edited"), "sigs", "next_sigs")
-        .select("*", signatures(F.col("edited")).alias("edited_sigs"))
+        .select("doc", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "head").alias("edited"), signatures(F.col("text")).alias("sigs"), "next_set")
+        .select("*", signatures(F.col("edited")).alias("edited_sigs"), F.regexp_extract_all(F.lower(F.hex("next_set")), F.lit(".{8}"), F.lit(0)).alias("next_sigs"))
     )
     return edited.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.array_join("sigs", "").alias("fingerprint"), F.array_join("edited_sigs", "").alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
