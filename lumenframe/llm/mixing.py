@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WORD, prepare
+from lumenframe.llm.common import WORD, partitions, prepare
 
 ENTROPY = 0.97  # of the largest possible
 REPEATS = 4.0
@@ -76,7 +76,9 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     n_blocks = max(1, math.ceil(whole / block_tokens))
     plan = u.select("source", "total", F.round(F.lit(whole) * F.col("u") / F.lit(z or 1.0)).cast("long").alias("budget"))
     plan = plan.select("*", F.expr("budget div total").alias("full"), (F.col("budget") % F.col("total")).alias("rest"))
-    uses = tokens.join(plan, "source").where("budget > 0").select("*", F.explode(F.expr("sequence(0L, if(rest > 0, full, full - 1))")).alias("epoch"))
+    salts = partitions(docs.sparkSession)  # a hot source's rows meet as many copies of its one plan row
+    salted = plan.where("budget > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    uses = tokens.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int")).join(salted, ["source", "salt"]).select("*", F.explode(F.expr("sequence(0L, if(rest > 0, full, full - 1))")).alias("epoch"))
     keyed = uses.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "epoch"))).withColumn("range", F.substring("key", 1, digits))
     ranges = keyed.groupBy("source", "epoch", "range").agg(F.sum("n_tokens").alias("n"))
     earlier = W.partitionBy("source", "epoch").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
