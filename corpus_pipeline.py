@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from lumenframe.llm import lines, mixing, packing, quality, simhash
+from lumenframe.llm import copies, lines, mixing, packing, quality
 from lumenframe.llm.common import prepare, table
 
 
@@ -24,8 +24,8 @@ def remove_repeated_lines(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (0.8 of their five-word shingles or more) the document with the smallest id stays."""
+    return copies.keep_one(docs)
 
 
 def mix_sources(spark, docs, sf_dir):
