@@ -31,11 +31,14 @@ SAMPLE = 20_000
 TREES, DEPTH, SEED = 24, 6, 7
 AROUND = 48  # characters of context
 
-#: A private key block, a value after a password word, or a run of at least 12 key characters with a digit.
+#: A private key block, a value assigned to a secret's word (as in ASSIGNED), a web token of three parts, a run of
+#: at least 12 key characters with a digit, or one of at least 20 with small and capital letters.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?<=(?i:password|passwd|secret)[=:])[^\s\"'=]{6,}"
+    r"|(?<=[=:\s\"'])(?<=(?i:token|secret|password|passwd|pwd|api_?key|access_?key|auth)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'=]{6,}={0,2}"
+    r"|(?<![A-Za-z0-9_+/-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Z0-9_+/-]*[a-z])(?=[a-z0-9_+/-]*[A-Z])[A-Za-z0-9_+/-]{20,}={0,2}"
 )
 
 #: Formats whose findings count as secrets, and as none. Fixed values.
