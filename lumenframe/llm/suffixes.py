@@ -40,8 +40,8 @@ from lumenframe.llm.words import Words, chunks, mix, rolling
 WORDS, SPAN, GRAM = 50, 20, 3
 #: What suffixes are sorted by.
 ORDER = ["way", "h", "context", "doc", "mark", "place"]
-FLUSH = 1_000_000
-BUCKET = 2_000_000
+FLUSH = 400_000
+BUCKET = 600_000
 
 
 def retained(words: Words, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def passages(docs: DataFrame, words: int = WORDS, span: int = SPAN, gram: int =
     size, shared_ids, repeated_rows = sizes(plain)
     if not shared_ids:
         plain = plain.withColumn("mark", F.lit(0).cast("long"))
-    buckets = max(1, -(-size // (6 * (span + 1) // 2 * BUCKET)))
+    buckets = max(1, -(-2 * size // ((span + 1) * BUCKET)))  # two places are retained of span + 1
     packed = plain.select("doc", "text", "mark").mapInArrow(_sample(run, span, gram, buckets), PACKED)
     by_doc = packed.groupBy("bucket").applyInArrow(_repeated(buckets), PACKED).groupBy("bucket").applyInArrow(by_document, STARTS)
     found = plain.join(by_doc.hint("shuffle_hash"), ["doc", "mark"])

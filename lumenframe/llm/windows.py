@@ -8,8 +8,9 @@
 3. The starts of repeated windows come together by part of the documents, also packed, then by document;
    they are merged into maximal intervals, and the words inside are dropped.
 
-Windows count as equal if their 64-bit hashes are. With W windows in all, about W * W / 3.7e19 pairs of
-different windows are taken for equal: 0.0003 over 110 million windows.
+A window's bucket comes from a second, independent hash, so windows count as equal if 64 bits of the first
+and the bucket of the second are. With W windows in all, W / BUCKET buckets, about W * BUCKET / 3.7e19 pairs
+of different windows are taken for equal: 0.000003 over 110 million windows, 0.5 over 2e13 (some 100 TB).
 
 Defined results: null text has no words; a document with fewer words than a window keeps all; repeats
 within one document are kept unless an earlier document has them; rows with the same ``doc_id`` don't
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import documents, prepare
-from lumenframe.llm.words import chunks, mix, rolling
+from lumenframe.llm.words import chunks, mix, rolling, second
 
 WINDOW = 50
-FLUSH = 2_000_000
-#: Windows that a bucket should hold.
-BUCKET = 3_000_000
+FLUSH = 500_000
+#: Windows that a bucket holds, as counted before.
+BUCKET = 1_000_000
 LAST = (1 << 63) - 1
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("count", pa.binary()), ("pos", pa.binary())])
@@ -124,11 +125,15 @@ PACKED = "bucket int, hash binary, doc binary, count binary, pos binary"
 STARTS = "doc long, mark long, starts binary"
 
 
-def _smallest(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each row, the smallest document of its hash."""
+def _smallest(hashes: np.ndarray, docs: np.ndarray, bucket: np.ndarray | None = None) -> np.ndarray:
+    """For each row, the smallest document of its hash (and bucket)."""
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
-    edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    edges = _turns(h)
+    if bucket is not None and len(_turns(h, bucket[order])) != len(edges):  # two windows of one hash
+        order = np.lexsort((bucket, hashes))
+        h = hashes[order]
+        edges = _turns(h, bucket[order])
     out = np.empty(len(h), np.int64)
     if len(h):
         out[order] = np.repeat(np.minimum.reduceat(docs[order], edges), np.diff(np.append(edges, len(h))))
@@ -139,10 +144,12 @@ def _hash_windows(window: int, buckets: int):
     """For mapInArrow: packed windows by bucket, in buckets below 0, by document, those already known to be repeated."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]):
-        h, doc, mark, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        known = doc > _smallest(h, doc)
-        yield from pack(-1 - bucket_of(mix(doc[known].astype(np.uint64)), buckets), h[known], doc[known], mark[known], pos[known])
-        yield from pack(bucket_of(h[~known], buckets), h[~known], doc[~known], mark[~known], pos[~known])
+        h, bucket, doc, mark, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        known = doc > _smallest(h, doc, bucket)
+        yield from pack(-1 - bucket_of(mix(doc[known].astype(np.uint64)), buckets), None, doc[known], mark[known], pos[known])
+        fresh = ~known
+        yield from pack(bucket[fresh], h[fresh], doc[fresh], mark[fresh], pos[fresh])
 
     def run(batches):
         parts, size = [], 0
@@ -154,14 +161,18 @@ def _hash_windows(window: int, buckets: int):
                 full = np.maximum(counts - window + 1, 0)
                 if not full.any():
                     continue
-                owner = np.repeat(np.arange(len(full)), full)
-                pos = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
-                h = rolling(words.hash, window)[words.first[:-1][owner] + pos]
-                parts.append((h, ids[row + owner], marks[row + owner], pos.astype(np.int32)))
-                size += len(h)
-                if size >= FLUSH:
-                    yield from flush(parts)
-                    parts, size = [], 0
+                first, other = rolling(words.hash, window), bucket_of(second(words.hash, window), buckets)
+                ends = np.cumsum(full)
+                for a in range(0, int(ends[-1]), FLUSH):  # a very long text takes several flushes
+                    n = np.arange(a, min(a + FLUSH, int(ends[-1])))
+                    owner = np.searchsorted(ends, n, side="right")
+                    pos = n - (ends - full)[owner]
+                    at = words.first[:-1][owner] + pos
+                    parts.append((first[at], other[at], ids[row + owner], marks[row + owner], pos.astype(np.int32)))
+                    size += len(n)
+                    if size >= FLUSH:
+                        yield from flush(parts)
+                        size = 0
         if parts:
             yield from flush(parts)
 
@@ -179,9 +190,17 @@ def _count(parts: int):
     return count
 
 
+def word_bound(text: F.Column) -> F.Column:
+    """A text's words at most: its spaces and one."""
+    rest = text
+    for space in " \n\t\r\v\f":
+        rest = F.replace(rest, F.lit(space), F.lit(""))
+    return F.octet_length(text) - F.octet_length(rest) + 1
+
+
 def sizes(docs: DataFrame) -> tuple[int, bool, bool]:
-    """Bytes of all texts, whether a doc repeats, whether (doc, mark) does. ``docs``: doc, text, mark."""
-    by_text = docs.groupBy("doc", "mark").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size"))
+    """Words of all texts at most, whether a doc repeats, whether (doc, mark) does. ``docs``: doc, text, mark."""
+    by_text = docs.groupBy("doc", "mark").agg(F.count("*").alias("n"), F.max(word_bound(F.col("text"))).cast("long").alias("size"))
     by_doc = by_text.groupBy("doc").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("size"))
     r = by_doc.agg(F.sum("size"), F.max("texts"), F.max("n")).first()
     return int(r[0] or 0), (r[1] or 0) > 1, (r[2] or 0) > 1
@@ -189,8 +208,8 @@ def sizes(docs: DataFrame) -> tuple[int, bool, bool]:
 
 def repeated_starts(docs: DataFrame, size: int, window: int = WINDOW) -> DataFrame:
     """``docs``: doc_id, text, mark -> a row (doc, mark, starts) for each document that has repeated windows,
-    starts packed as int32. ``size``: bytes of all texts."""
-    buckets = max(1, -(-size // (6 * BUCKET)))  # a word and its space take about 6 bytes
+    starts packed as int32. ``size``: words of all texts at most."""
+    buckets = max(1, -(-size // BUCKET))
     packed = docs.mapInArrow(_hash_windows(window, buckets), PACKED)
     return packed.groupBy("bucket").applyInArrow(_count(buckets), PACKED).groupBy("bucket").applyInArrow(by_document, STARTS)
 

@@ -50,3 +50,34 @@ def test_against_brute_force(spark, monkeypatch, flush):
 
 def test_empty_table(spark):
     assert windows.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_words_of_a_symmetric_sequence(spark):
+    """Polynomials modulo a power of two can't tell a long Thue-Morse word from its complement."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert word != other
+    rest = "x y z u v"
+    docs = spark.createDataFrame([(1, f"{word} {rest}", ""), (2, f"{other} {rest}", ""), (3, f"{word} {rest}", "")], SCHEMA)
+    assert {r["doc_id"]: r["n_removed"] for r in windows.remove_repeats(docs, 6).collect()} == {1: 0, 2: 0, 3: 6}
+
+
+def test_long_text_in_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lumenframe.llm import words
+
+    rng = random.Random(1)
+    texts = [" \n".join("".join(rng.choice("abé") for _ in range(rng.choice((1, 3, 9, 80, 700)))) for _ in range(300)), "", "x" * 5000, " y"]
+    whole = list(words.chunks(pa.array(texts)))
+    monkeypatch.setattr(words, "CHUNK", 512)
+    found = []
+    for _, part in words.chunks(pa.array(texts)):
+        raw = part.data.tobytes()
+        for a, b in zip(part.first, part.first[1:]):
+            found.append([raw[s:e].decode() for s, e in zip(part.start[a:b], part.end[a:b])])
+    assert found == [WORD.findall(t) for t in texts]
+    assert np.array_equal(np.concatenate([w.hash for _, w in whole]), np.concatenate([w.hash for _, w in words.chunks(pa.array(texts))]))
