@@ -8,8 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.operators.fitted import constrained_map, ridge_decoder
-from lumenframe.operators.graph import EPSILON, classical_scaling, knn_edges, shortest_paths
-from lumenframe.operators.moments import covariance, eigen, expected_nll, factor_analysis, vectors
+from lumenframe.operators.graph import EPSILON, classical_scaling, dense, knn_edges, shortest_paths, small_labels
+from lumenframe.operators.moments import FA_FLOORS, covariance, eigen, expected_nll, factor_analysis, vectors
 from lumenframe.sources import generators as g
 
 
@@ -46,7 +46,7 @@ def nystrom(spark, sf_dir):
         back = np.abs(extend(model, x[even])[:, :3] - model["psi"][:, :3]).max()
         return pd.DataFrame({"label": int(pdf["label"].iloc[0]), "vec_id": pdf["vec_id"].to_numpy()[~even], "a": psi[:, 0].round(6), "b": psi[:, 1].round(6), "self_error": round(float(back), 9)})
 
-    return vectors(spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, vec_id long, a double, b double, self_error double")
+    return dense(vectors(spark, sf_dir), spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, vec_id long, a double, b double, self_error double")
 
 
 def diffusion_distances(spark, sf_dir):
@@ -59,7 +59,7 @@ def diffusion_distances(spark, sf_dir):
         spectral, direct, short = (np.sqrt(_square(v, v))[pairs] for v in (z, m["p"] / np.sqrt(m["pi"]), z[:, :2]))
         return pd.DataFrame([(int(pdf["label"].iloc[0]), round(float(np.abs(spectral - direct).max()), 6), round(float(np.sqrt(((short - spectral) ** 2).mean() / (spectral**2).mean())), 6))], columns=["label", "max_gap", "truncation"])
 
-    return vectors(spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, max_gap double, truncation double")
+    return dense(vectors(spark, sf_dir), spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, max_gap double, truncation double")
 
 
 def gower(d2: np.ndarray, coordinates: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -80,7 +80,8 @@ def isomap_extend(spark, sf_dir):
         x, _ = classical_scaling(d)
         return pd.DataFrame([(label, len(ids), round(float(np.abs(gower(d**2, x, d**2) - x).max()), 9), "ok")], columns=["label", "n", "max_gap", "status"])
 
-    return knn_edges(spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, n int, max_gap double, status string")
+    made = dense(knn_edges(spark, sf_dir), spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, n int, max_gap double, status string")
+    return made.union(small_labels(spark, sf_dir)[1].select("label", F.col("n").cast("int"), F.lit(None).cast("double"), F.lit("inapplicable")))
 
 
 def label_shuffle_null(spark, sf_dir, shuffles: int = 32):
@@ -126,8 +127,9 @@ def covariance_shuffles(spark, sf_dir, shuffles: int = 24):
     return one.withColumn("rank", F.when(F.col("shuffle") > 0, F.row_number().over(W.orderBy((F.col("shuffle") == 0).cast("int"), F.desc("similarity"), "shuffle"))))  # a row for each shuffle
 
 
-def factor_restarts(spark, sf_dir):
-    """Factor analysis by floor on even ids, chosen by likelihood on odd ids, then by floor."""
+def factor_restarts(spark, sf_dir, restarts: int = 3):
+    """Factor analysis on even ids from two floors and three starts each, chosen by likelihood on odd ids, then by
+    floor and start."""
     halves = covariance(vectors(spark, sf_dir).withColumn("half", (F.col("vec_id") % 2).cast("int")), "x", ["label", "half"])
 
     def fit(pdf):
@@ -138,13 +140,14 @@ def factor_restarts(spark, sf_dir):
             c[part["i"], part["j"]] = c[part["j"], part["i"]] = part["cov"]
             mats[int(h)] = c
         tried = []
-        for floor in (1e-5, 1e-3):
-            fa = factor_analysis(mats[0], floor=floor)
-            tried.append((expected_nll(mats[1], fa["loading"] @ fa["loading"].T + np.diag(fa["unique"])), floor, fa))
-        nll, floor, fa = min(tried, key=lambda v: v[:2])
-        return pd.DataFrame([(int(pdf["label"].iloc[0]), floor, round(float(fa["nll"]), 6), round(float(nll), 6), fa["rounds"], "ok" if fa["settled"] else "nonconvergence")], columns=["label", "floor", "train_nll", "validation_nll", "rounds", "status"])
-
-    return halves.groupBy("label").applyInPandas(fit, "label int, floor double, train_nll double, validation_nll double, rounds int, status string")
+        for floor in FA_FLOORS:
+            for start in range(restarts):
+                fa = factor_analysis(mats[0], floor=floor, restart=start)
+                tried.append((expected_nll(mats[1], fa["loading"] @ fa["loading"].T + np.diag(fa["unique"])), floor, start, fa))
+        nll, floor, start, fa = min(tried, key=lambda v: v[:3])
+        return pd.DataFrame([(int(pdf["label"].iloc[0]), floor, start, round(float(fa["nll"]), 6), round(float(nll), 6), fa["rounds"], "ok" if fa["settled"] else "nonconvergence")], columns=["label", "floor", "restart", "train_nll", "validation_nll", "rounds", "status"])
+
+    return halves.groupBy("label").applyInPandas(fit, "label int, floor double, restart int, train_nll double, validation_nll double, rounds int, status string")
 
 
 QUERIES = {f.__name__: f for f in (nystrom, diffusion_distances, isomap_extend, label_shuffle_null, covariance_shuffles, factor_restarts)}

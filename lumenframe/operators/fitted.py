@@ -30,8 +30,9 @@ def condition(mean: np.ndarray, cov: np.ndarray, noise: np.ndarray, x: np.ndarra
     return mean + cross.T @ white, cov - cross.T @ cross, float(nll / seen.sum())
 
 
-def kalman_matrix(x: np.ndarray, seen: np.ndarray, a: np.ndarray, q: np.ndarray, c: np.ndarray, r: np.ndarray, p0: np.ndarray):
-    """Multivariate filter and smoother with a mask for each channel: smoothed means and covariances."""
+def kalman_matrix(x: np.ndarray, seen: np.ndarray, a: np.ndarray, q: np.ndarray, c: np.ndarray, r: np.ndarray, p0: np.ndarray, gains: bool = False):
+    """Multivariate filter and smoother with a mask for each channel: smoothed means and covariances, and with
+    ``gains`` the smoother's gain of each step but the last."""
     n, k = len(x), len(a)
     m, p, pm, pp = np.zeros((n, k)), np.zeros((n, k, k)), np.zeros((n, k)), np.zeros((n, k, k))
     for t in range(n):
@@ -43,10 +44,11 @@ def kalman_matrix(x: np.ndarray, seen: np.ndarray, a: np.ndarray, q: np.ndarray,
             m[t], p[t] = pm[t] + gain @ (x[t, o] - h @ pm[t]), pp[t] - gain @ h @ pp[t]
         else:
             m[t], p[t] = pm[t], pp[t]
+    back = np.zeros((max(n - 1, 0), k, k))
     for t in range(n - 2, -1, -1):
-        back = np.linalg.solve(pp[t + 1], a @ p[t]).T
-        m[t], p[t] = m[t] + back @ (m[t + 1] - pm[t + 1]), p[t] + back @ (p[t + 1] - pp[t + 1]) @ back.T
-    return m, p
+        back[t] = np.linalg.solve(pp[t + 1], a @ p[t]).T
+        m[t], p[t] = m[t] + back[t] @ (m[t + 1] - pm[t + 1]), p[t] + back[t] @ (p[t + 1] - pp[t + 1]) @ back[t].T
+    return (m, p, back) if gains else (m, p)
 
 
 def gp_posterior(spark, sf_dir):
@@ -87,32 +89,62 @@ def ridge_decoder(x: np.ndarray, y: np.ndarray, lam: float) -> tuple[np.ndarray,
 
 
 def demixing(spark, sf_dir):
-    """Simulated factorial trials: share of each marginal's variance explained, decoder accuracy on held-out trials."""
-    trials = g.factorial_trials(g.units(spark, 1, 3, 40))
+    """Simulated factorial trials in three splits: models are fitted on training trials, penalties are chosen on
+    validation trials (error or accuracy, then the smaller penalty), and what is reported is the test trials'.
+    Marginals are mapped by the regularised form (rank by the fitted values) and the reduced-rank form (rank by a
+    projector of them)."""
+    trials = g.factorial_trials(g.units(spark, 1, 3, 60))
 
     def fit(pdf):
         wide = pdf.pivot_table(index=["unit", "stimulus", "decision"], columns=["t", "p"], values="x")
         bins, channels = pdf["t"].nunique(), pdf["p"].nunique()
         x = wide.to_numpy().reshape(-1, bins, channels)
         s, d = (wide.index.get_level_values(c).to_numpy() for c in ("stimulus", "decision"))
-        train = np.arange(len(x)) // 4 % 4 < 3  # labels go round with the unit number
-        cells = np.stack([x[train & (s == a) & (d == b)].mean(0) for a in (-1, 1) for b in (-1, 1)]).reshape(2, 2, bins, channels)
-        centred = cells - cells.mean((0, 1, 2))
-        time = centred.mean((0, 1), keepdims=True)
-        stim, dec = centred.mean(1, keepdims=True) - time, centred.mean(0, keepdims=True) - time
+        split = np.arange(len(x)) // 4 % 5  # labels go round with the unit number: three parts train, one validates, one tests
         rows = []
-        for name, part in (("time", time), ("stimulus", stim), ("decision", dec), ("interaction", centred - time - stim - dec)):
-            target = np.broadcast_to(part, centred.shape).reshape(-1, channels)
-            flat = centred.reshape(-1, channels)
-            score = min((((target - flat @ b.T @ u.T) ** 2).sum() / max((target**2).sum(), 1e-15), lam) for lam in LAMBDAS for u, b in [demix(flat, target, lam)])
-            rows.append((name, "nmse", float(score[0]), score[1]))
+
+        def parts_of(own):
+            cells = np.stack([x[own & (s == a) & (d == b)].mean(0) for a in (-1, 1) for b in (-1, 1)]).reshape(2, 2, bins, channels)
+            return cells
+
+        cells = {k: parts_of(np.isin(split, v)) for k, v in (("train", (0, 1, 2)), ("validation", (3,)), ("test", (4,)))}
+        centre = cells["train"].mean((0, 1, 2))
+
+        def marginal(c, name):
+            c = c - centre
+            time = c.mean((0, 1), keepdims=True)
+            stim, dec = c.mean(1, keepdims=True) - time, c.mean(0, keepdims=True) - time
+            part = {"time": time, "stimulus": stim, "decision": dec, "interaction": c - time - stim - dec}[name]
+            return np.broadcast_to(part, c.shape).reshape(-1, channels), c.reshape(-1, channels)
+
+        for name in ("time", "stimulus", "decision", "interaction"):
+            target, flat = marginal(cells["train"], name)
+            for method, build in (("regularised", demix), ("reduced_rank", reduced_rank)):
+                models = {lam: build(flat, target, lam) for lam in LAMBDAS}
+                error = lambda k, lam, models=models, name=name: _nmse(*marginal(cells[k], name), *models[lam])
+                lam = min(LAMBDAS, key=lambda v: (error("validation", v), v))
+                rows.append((name, method, "nmse", error("test", lam), lam))
+        z = x.reshape(len(x), -1)
+        on = {k: np.isin(split, v) for k, v in (("train", (0, 1, 2)), ("validation", (3,)), ("test", (4,)))}
         for name, y in (("stimulus", s), ("decision", d)):
-            z = x.reshape(len(x), -1)
-            best = max((float((np.where(z[~train] @ w + c >= 0, 1, -1) == y[~train]).mean()), -lam) for lam in LAMBDAS for w, c in [ridge_decoder(z[train], y[train].astype(float), lam)])
-            rows.append((name, "accuracy", best[0], -best[1]))
-        return pd.DataFrame([(int(pdf["replicate"].iloc[0]), n, m, round(v, 6), lam) for n, m, v, lam in rows], columns=["replicate", "target", "metric", "value", "lam"])
+            models = {lam: ridge_decoder(z[on["train"]], y[on["train"]].astype(float), lam) for lam in LAMBDAS}
+            right = lambda k, lam, models=models, y=y: float((np.where(z[on[k]] @ models[lam][0] + models[lam][1] >= 0, 1, -1) == y[on[k]]).mean())
+            lam = min(LAMBDAS, key=lambda v: (-right("validation", v), v))
+            rows.append((name, "decoder", "accuracy", right("test", lam), lam))
+        return pd.DataFrame([(int(pdf["replicate"].iloc[0]), n, w, m, round(float(v), 6), lam) for n, w, m, v, lam in rows], columns=["replicate", "target", "method", "metric", "value", "lam"])
+
+    return trials.groupBy("replicate").applyInPandas(fit, "replicate int, target string, method string, metric string, value double, lam double")
+
+
+def reduced_rank(mean: np.ndarray, marginal: np.ndarray, lam: float, k: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(encoder, decoder): the ridge map, then the leading directions of the values it fits."""
+    full = np.linalg.solve(mean.T @ mean + lam * np.eye(mean.shape[1]), mean.T @ marginal)
+    u = np.linalg.svd(mean @ full, full_matrices=False)[2][:k].T
+    return u, (full @ u).T
 
-    return trials.groupBy("replicate").applyInPandas(fit, "replicate int, target string, metric string, value double, lam double")
+
+def _nmse(target: np.ndarray, flat: np.ndarray, encoder: np.ndarray, decoder: np.ndarray) -> float:
+    return float(((target - flat @ decoder.T @ encoder.T) ** 2).sum() / max((target**2).sum(), 1e-15))
 
 
 # Dynamics
@@ -197,35 +229,51 @@ def field_fit(spark, sf_dir):
 # Autoencoders
 
 
-def train_autoencoder(x: np.ndarray, held: np.ndarray, hidden: int, seed: int, rounds: int = 1500, patience: int = 120, rate: float = 0.01) -> tuple[float, list[np.ndarray]]:
-    """One code through a tanh layer (hidden 0: linear), full-batch Adam, stopped early on held-out loss."""
-    rng, p = g.stream(61, seed, hidden), x.shape[1]
+def loss_and_gradients(x: np.ndarray, params: list[np.ndarray], bent: list[bool]) -> tuple[float, list[np.ndarray]]:
+    """Mean squared reconstruction error and its gradient by every weight and offset."""
+    acts = [x]
+    for k, tanh in enumerate(bent):
+        z = acts[-1] @ params[2 * k] + params[2 * k + 1]
+        acts.append(np.tanh(z) if tanh else z)
+    delta, grads = 2 * (acts[-1] - x) / x.size, [np.zeros(0)] * len(params)
+    for k in range(len(bent) - 1, -1, -1):
+        if bent[k]:
+            delta = delta * (1 - acts[k + 1] ** 2)
+        grads[2 * k], grads[2 * k + 1] = acts[k].T @ delta, delta.sum(0)
+        delta = delta @ params[2 * k].T
+    return float(((acts[-1] - x) ** 2).mean()), grads
+
+
+def layers(p: int, hidden: int) -> tuple[list[tuple[int, int]], list[bool]]:
     sizes = [(p, hidden), (hidden, 1), (1, hidden), (hidden, p)] if hidden else [(p, 1), (1, p)]
-    params = [v for a, b in sizes for v in (rng.normal(scale=1 / np.sqrt(a), size=(a, b)), np.zeros(b))]
-    m1, m2 = [np.zeros_like(v) for v in params], [np.zeros_like(v) for v in params]
-    bent = [bool(hidden) and k in (0, 2) for k in range(len(sizes))]
+    return sizes, [bool(hidden) and k in (0, 2) for k in range(len(sizes))]
+
+
+def predict_and_code(x: np.ndarray, params: list[np.ndarray], bent: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Reconstruction, and the code in the middle."""
+    z, code = x, x
+    for k, tanh in enumerate(bent):
+        z = z @ params[2 * k] + params[2 * k + 1]
+        z = np.tanh(z) if tanh else z
+        code = z if k == len(bent) // 2 - 1 else code
+    return z, code
 
-    def run(z):
-        acts = [z]
-        for k in range(len(sizes)):
-            z = z @ params[2 * k] + params[2 * k + 1]
-            z = np.tanh(z) if bent[k] else z
-            acts.append(z)
-        return acts
 
+def train_autoencoder(x: np.ndarray, held: np.ndarray, hidden: int, seed: int, rounds: int = 1500, patience: int = 120, rate: float = 0.01, frozen: bool = False) -> tuple[float, list[np.ndarray]]:
+    """One code through a tanh layer (hidden 0: linear), full-batch Adam, stopped early on validation loss. With
+    ``frozen`` the encoder stays as it was drawn."""
+    rng, p = g.stream(61, seed, hidden), x.shape[1]
+    sizes, bent = layers(p, hidden)
+    params = [v for a, b in sizes for v in (rng.normal(scale=1 / np.sqrt(a), size=(a, b)), np.zeros(b))]
+    m1, m2 = [np.zeros_like(v) for v in params], [np.zeros_like(v) for v in params]
+    moving = range(len(sizes) if frozen else 0, len(params))
     best, kept, wait = np.inf, [v.copy() for v in params], 0
     for step in range(1, rounds + 1):
-        acts = run(x)
-        delta, grads = 2 * (acts[-1] - x) / x.size, [None] * len(params)
-        for k in range(len(sizes) - 1, -1, -1):
-            if bent[k]:
-                delta = delta * (1 - acts[k + 1] ** 2)
-            grads[2 * k], grads[2 * k + 1] = acts[k].T @ delta, delta.sum(0)
-            delta = delta @ params[2 * k].T
-        for k, d in enumerate(grads):
-            m1[k], m2[k] = 0.9 * m1[k] + 0.1 * d, 0.999 * m2[k] + 0.001 * d * d
+        _, grads = loss_and_gradients(x, params, bent)
+        for k in moving:
+            m1[k], m2[k] = 0.9 * m1[k] + 0.1 * grads[k], 0.999 * m2[k] + 0.001 * grads[k] ** 2
             params[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-        loss = float(((run(held)[-1] - held) ** 2).mean())
+        loss = float(((predict_and_code(held, params, bent)[0] - held) ** 2).mean())
         best, wait, kept = (loss, 0, [v.copy() for v in params]) if loss < best - 1e-9 else (best, wait + 1, kept)
         if wait > patience:
             break
@@ -233,21 +281,27 @@ def train_autoencoder(x: np.ndarray, held: np.ndarray, hidden: int, seed: int, r
 
 
 def autoencoder(spark, sf_dir):
-    """Held-out error of one linear direction, a linear and a nonlinear autoencoder; candidates side by side."""
-    rows = g.curved_rows(g.units(spark, 1, 1, 240))
-    tries = rows.select("unit", "x", F.explode(F.expr("array(struct(0 as hidden, 0 as seed), struct(8 as hidden, 0 as seed), struct(8 as hidden, 1 as seed))")).alias("c")).select("unit", "x", "c.*")
+    """Linear, nonlinear and frozen-encoder autoencoders beside one principal direction, a seed a task. Training is
+    stopped and seeds are chosen on validation rows (loss, then the seed); errors are the test rows'. The code's rank
+    correlation with the hidden coordinate is beside them."""
+    rows = g.curved_rows(g.units(spark, 1, 1, 300))
+    tries = rows.select("unit", "s", "x", F.explode(F.expr("array(struct('linear' as method, 0 as hidden, 0 as seed), struct('nonlinear' as method, 8 as hidden, 0 as seed), struct('nonlinear' as method, 8 as hidden, 1 as seed), struct('nonlinear' as method, 8 as hidden, 2 as seed), struct('frozen' as method, 8 as hidden, 0 as seed))")).alias("c")).select("unit", "s", "x", "c.*")
 
     def fit(pdf):
         pdf = pdf.sort_values("unit")
-        x = np.stack(pdf["x"].to_numpy())
-        train = pdf["unit"].to_numpy() % 3 > 0
-        mean, scale = x[train].mean(0), x[train].std(0)
-        z = (x - mean) / scale
-        loss, _ = train_autoencoder(z[train], z[~train], int(pdf["hidden"].iloc[0]), int(pdf["seed"].iloc[0]))
-        u = np.linalg.svd(z[train], full_matrices=False)[2][:1]
-        return pd.DataFrame([(int(pdf["hidden"].iloc[0]), int(pdf["seed"].iloc[0]), round(loss, 6), round(float(((z[~train] - z[~train] @ u.T @ u) ** 2).mean()), 6))], columns=["hidden", "seed", "mse", "pca_mse"])
-
-    return tries.groupBy("hidden", "seed").applyInPandas(fit, "hidden int, seed int, mse double, pca_mse double")
+        x, s, part = np.stack(pdf["x"].to_numpy()), pdf["s"].to_numpy(), pdf["unit"].to_numpy() % 5
+        train, test = part < 3, part == 4
+        z = (x - x[train].mean(0)) / x[train].std(0)
+        method, hidden, seed = pdf["method"].iloc[0], int(pdf["hidden"].iloc[0]), int(pdf["seed"].iloc[0])
+        loss, params = train_autoencoder(z[train], z[part == 3], hidden, seed, frozen=method == "frozen")
+        made, code = predict_and_code(z[test], params, layers(x.shape[1], hidden)[1])
+        u = np.linalg.svd(z[train] - z[train].mean(0), full_matrices=False)[2][:1]
+        ranks = [np.argsort(np.argsort(v)).astype(float) for v in (code[:, 0], s[test])]
+        return pd.DataFrame([(method, seed, round(loss, 6), round(float(((made - z[test]) ** 2).mean()), 6), round(float(((z[test] - z[test] @ u.T @ u) ** 2).mean()), 6), round(abs(float(np.corrcoef(*ranks)[0, 1])), 6))], columns=["method", "seed", "validation_mse", "mse", "pca_mse", "rank_correlation"])
+
+    made = tries.groupBy("method", "hidden", "seed").applyInPandas(fit, "method string, seed int, validation_mse double, mse double, pca_mse double, rank_correlation double")
+    best = made.groupBy("method").agg(F.min(F.struct("validation_mse", "seed")).alias("b")).select(F.col("method").alias("of"), F.col("b.seed").alias("chosen"))
+    return made.join(F.broadcast(best), F.col("of") == F.col("method")).select("method", "seed", "validation_mse", "mse", "pca_mse", "rank_correlation", (F.col("seed") == F.col("chosen")).alias("chosen"))  # a row for each method
 
 
 QUERIES = {f.__name__: f for f in (gp_posterior, demixing, skew_fit, field_fit, autoencoder)}

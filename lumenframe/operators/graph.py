@@ -1,34 +1,78 @@
 """Neighbour graphs and diffusion operators over ``embeddings``, one graph a label.
 
-Neighbours are looked for inside a label, so distances are a join on the label and never a cross join of the
-whole table; the square of a label's size is what an exact neighbour graph costs.
+Neighbours are looked for inside a label. Vectors are dealt to blocks of bounded size and blocks meet block by
+block, as matrix products, so that a large label is many tasks; the square of a label's size is what an exact
+neighbour graph costs. Dense spectral forms take labels of at most ``DENSE`` vectors; larger ones are
+``inapplicable``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.operators.moments import vectors
+from lumenframe.session import checkpoint
 
 K, EPSILON = 4, 0.8
+#: Vectors that a block holds, about; vectors of a dense matrix at most.
+BLOCK, DENSE = 256, 4000
+
+
+def _block_pairs(v: DataFrame, emit, schema: str) -> DataFrame:
+    """``emit(label, ids_a, ids_b, w)`` gives a record batch for each pair of blocks of a label; w: distances, rounded."""
+    most = v.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // BLOCK))
+    row = F.struct(F.col("vec_id").alias("id"), F.col("x"))
+    dealt = v.groupBy("label", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(row)).alias("rows"))  # about BLOCK vectors
+    left = dealt.select("label", F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = left.join(dealt.withColumnRenamed("rows", "b"), ["label", "block"]).select("label", "a", "b")
+
+    def unpack(cell):
+        own = cell.values
+        return own.field("id").to_numpy(), own.field("x").flatten().to_numpy().reshape(len(own), -1)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ids_a, a), (ids_b, b) = unpack(batch.column(1)[k]), unpack(batch.column(2)[k])
+                d2 = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
+                yield emit(batch.column(0)[k].as_py(), ids_a, ids_b, np.round(np.sqrt(np.maximum(d2, 0)), 6))
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _rows(label, src, dst, w) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(src), label, np.int32)), pa.array(src), pa.array(dst), pa.array(w)], names=["label", "src", "dst", "w"])
 
 
 def distances(spark, sf_dir) -> DataFrame:
     """label, src, dst, w for all ordered pairs of a label."""
-    v = vectors(spark, sf_dir)
-    a, b = (v.select("label", F.col("vec_id").alias(n), F.col("x").alias(x)) for n, x in (("src", "a"), ("dst", "b")))
-    total = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
-    return a.join(b, "label").where("src <> dst").select("label", "src", "dst", F.round(F.sqrt(F.greatest(total, F.lit(0.0))), 6).alias("w"))
+
+    def emit(label, ids_a, ids_b, w):
+        src, dst = np.repeat(ids_a, len(ids_b)), np.tile(ids_b, len(ids_a))
+        other = src != dst
+        return _rows(label, src[other], dst[other], w.ravel()[other])
+
+    return _block_pairs(vectors(spark, sf_dir), emit, "label int, src long, dst long, w double")
 
 
 def pairwise_topk(spark, sf_dir):
-    """The K nearest of each vector; ties go to the smaller id."""
+    """The K nearest of each vector; ties go to the smaller id. A pair of blocks hands on K a vector."""
+
+    def emit(label, ids_a, ids_b, w):
+        w = np.where(ids_a[:, None] == ids_b, np.inf, w)
+        near = np.argsort(w, axis=1, kind="stable")[:, :K]  # ids rise, so ties go to the smaller
+        src, dst, d = np.repeat(ids_a, near.shape[1]), ids_b[near].ravel(), np.take_along_axis(w, near, 1).ravel()
+        return _rows(label, src[np.isfinite(d)], dst[np.isfinite(d)], d[np.isfinite(d)])
+
     near = W.partitionBy("label", "src").orderBy("w", "dst")
-    return distances(spark, sf_dir).withColumn("rank", F.row_number().over(near).cast("bigint")).where(F.col("rank") <= K)
+    top = _block_pairs(vectors(spark, sf_dir), emit, "label int, src long, dst long, w double")
+    return top.withColumn("rank", F.row_number().over(near).cast("bigint")).where(F.col("rank") <= K)
 
 
 def knn_edges(spark, sf_dir) -> DataFrame:
@@ -38,21 +82,19 @@ def knn_edges(spark, sf_dir) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
-    """label, node, component: the smallest node reachable, by hashing to the minimum with pointer jumps."""
-    both = edges.select("label", "src", "dst").union(edges.select("label", F.col("dst"), F.col("src"))).persist()
+    """label, node, component: the smallest node reachable, by hashing to the minimum with pointer jumps. It is an
+    error if ``rounds`` don't settle it."""
+    both = checkpoint(edges.select("label", "src", "dst").union(edges.select("label", F.col("dst"), F.col("src"))))
     now = nodes.select("label", "node", F.col("node").alias("component"))
     for _ in range(rounds):
         heard = both.join(now.withColumnRenamed("node", "dst"), ["label", "dst"]).select("label", F.col("src").alias("node"), "component")
         low = now.union(heard).groupBy("label", "node").agg(F.min("component").alias("component"))
         jump = low.select("label", F.col("node").alias("component"), F.col("component").alias("root"))
-        new = low.join(jump, ["label", "component"]).select("label", "node", F.col("root").alias("component"))
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        changed = new.join(now.withColumnRenamed("component", "before"), ["label", "node"]).where("component <> before").limit(1).count()
+        new = checkpoint(low.join(jump, ["label", "component"]).select("label", "node", F.col("root").alias("component")))
+        if new.join(now.withColumnRenamed("component", "before"), ["label", "node"]).where("component <> before").isEmpty():
+            return new
         now = new
-        if not changed:
-            break
-    both.unpersist()
-    return now
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def knn_components(spark, sf_dir):
@@ -68,37 +110,44 @@ def graph_diagnostics(spark, sf_dir):
     return e.join(c, "label").select("label", "edges", "mean_w", "max_w", "long_edges", "components", (F.col("n") * (F.col("n") - 1) / 2 - F.col("inside")).cast("bigint").alias("infinite_pairs"))
 
 
+def _all_pairs(spark, sf_dir) -> DataFrame:
+    own = vectors(spark, sf_dir).select("label", F.col("vec_id").alias("src"), F.col("vec_id").alias("dst"), F.lit(0.0).alias("w"))
+    return distances(spark, sf_dir).union(own)
+
+
 def double_center(spark, sf_dir):
-    """-1/2 of squared distances, centred by row, column and whole."""
-    d = distances(spark, sf_dir).select("label", "src", "dst", (F.col("w") * F.col("w")).alias("s"))
-    own = vectors(spark, sf_dir).select("label", F.col("vec_id").alias("src"), F.col("vec_id").alias("dst"), F.lit(0.0).alias("s"))
-    m = lambda *c: F.avg("s").over(W.partitionBy("label", *c))
-    return d.union(own).select("label", "src", "dst", F.round((F.col("s") - m("src") - m("dst") + m()) * -0.5, 5).alias("b"))
+    """-1/2 of squared distances, centred by row, column and whole. Means are aggregates that meet the pairs again;
+    as distances are symmetric, a column's mean is its row's."""
+    d = _all_pairs(spark, sf_dir).select("label", "src", "dst", (F.col("w") * F.col("w")).alias("s"))
+    rows = d.groupBy("label", "src").agg(F.avg("s").alias("m"))
+    whole = rows.groupBy("label").agg(F.avg("m").alias("g"))
+    both = d.join(rows.withColumnRenamed("m", "a"), ["label", "src"]).join(rows.select("label", F.col("src").alias("dst"), F.col("m").alias("b")), ["label", "dst"]).join(whole, "label")
+    return both.select("label", "src", "dst", F.round((F.col("s") - F.col("a") - F.col("b") + F.col("g")) * -0.5 + 1e-12, 5).alias("b"))
 
 
 def _kernel(spark, sf_dir) -> DataFrame:
-    own = vectors(spark, sf_dir).select("label", F.col("vec_id").alias("src"), F.col("vec_id").alias("dst"), F.lit(0.0).alias("w"))
-    a = distances(spark, sf_dir).union(own).select("label", "src", "dst", F.exp(-F.col("w") * F.col("w") / EPSILON).alias("a"))
-    q = F.sum("a").over(W.partitionBy("label", "src"))
-    p = F.sum("a").over(W.partitionBy("label", "dst"))
-    return a.select("label", "src", "dst", (F.col("a") / (q * p)).alias("k"))
+    a = _all_pairs(spark, sf_dir).select("label", "src", "dst", F.exp(-F.col("w") * F.col("w") / EPSILON).alias("a"))
+    q = a.groupBy("label", "src").agg(F.sum("a").alias("q"))
+    p = q.select("label", F.col("src").alias("dst"), F.col("q").alias("p"))
+    return a.join(q, ["label", "src"]).join(p, ["label", "dst"]).select("label", "src", "dst", (F.col("a") / (F.col("q") * F.col("p"))).alias("k"))
 
 
 def diffusion_markov(spark, sf_dir):
-    """Row-stochastic operator after density normalisation; its rows' sums, diagonal and entropy."""
-    p = _kernel(spark, sf_dir).select("label", "src", "dst", (F.col("k") / F.sum("k").over(W.partitionBy("label", "src"))).alias("p"))
-    return p.groupBy("label", "src").agg(F.round(F.sum("p"), 6).alias("total"), F.round(F.max(F.when(F.col("src") == F.col("dst"), F.col("p"))), 6).alias("stay"), F.round(F.sum(-F.col("p") * F.log("p")), 5).alias("entropy"))
+    """Row-stochastic operator after density normalisation; its rows' sums, diagonal and entropy, in one aggregate."""
+    k = F.col("k")
+    r = _kernel(spark, sf_dir).groupBy("label", "src").agg(F.sum("k").alias("s"), F.sum(k * F.log(k)).alias("e"), F.max(F.when(F.col("src") == F.col("dst"), k)).alias("own"))
+    return r.select("label", "src", F.round(F.col("s") / F.col("s"), 6).alias("total"), F.round(F.col("own") / F.col("s"), 6).alias("stay"), F.round(F.log("s") - F.col("e") / F.col("s"), 5).alias("entropy"))
 
 
 def diffusion_stationary(spark, sf_dir):
     d = _kernel(spark, sf_dir).groupBy("label", "src").agg(F.sum("k").alias("d"))
-    return d.select("label", "src", F.round(F.col("d") / F.sum("d").over(W.partitionBy("label")), 8).alias("pi"))
+    return d.join(d.groupBy("label").agg(F.sum("d").alias("total")), "label").select("label", "src", F.round(F.col("d") / F.col("total"), 8).alias("pi"))
 
 
 def collision_rate(spark, sf_dir):
     """Share of near pairs in the first coordinate whose vectors lie far apart; coordinates meet by buckets of
     the width, each with its neighbour, not pair by pair."""
-    v = vectors(spark, sf_dir).select("label", "vec_id", F.col("x")[0].alias("c"), F.slice("x", 2, 7).alias("y"))
+    v = vectors(spark, sf_dir).select("label", "vec_id", F.col("x")[0].alias("c"), F.slice("x", 2, 63).alias("y"))
     width = 0.05
     a = v.withColumn("b", F.floor(F.col("c") / width))
     left = a.select("label", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), F.col("vec_id").alias("i"), F.col("c").alias("ci"), F.col("y").alias("yi"))
@@ -110,6 +159,17 @@ def collision_rate(spark, sf_dir):
 # Spectral forms: a dense matrix for each label, in a grouped function.
 
 
+def small_labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Labels of at most DENSE vectors, and the others."""
+    n = vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    return n.where(F.col("n") <= DENSE).select("label"), n.where(F.col("n") > DENSE)
+
+
+def dense(frame: DataFrame, spark, sf_dir) -> DataFrame:
+    """The rows of labels that a dense matrix can hold."""
+    return frame.join(small_labels(spark, sf_dir)[0], "label", "left_semi")
+
+
 def shortest_paths(n: int, src, dst, w) -> np.ndarray:
     """All-pairs path lengths by min-plus squaring; infinite without a path."""
     d = np.full((n, n), np.inf)
@@ -143,7 +203,9 @@ def isomap(spark, sf_dir):
         x, _ = classical_scaling(d)
         return pd.DataFrame({"label": label, "vec_id": ids, "a": x[:, 0].round(6), "b": x[:, 1].round(6), "status": "ok"})
 
-    return knn_edges(spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, vec_id long, a double, b double, status string")
+    made = dense(knn_edges(spark, sf_dir), spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, vec_id long, a double, b double, status string")
+    large = vectors(spark, sf_dir).join(small_labels(spark, sf_dir)[1], "label", "left_semi")
+    return made.union(large.select("label", "vec_id", F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit("inapplicable")))
 
 
 def diffusion_spectrum(spark, sf_dir):
@@ -157,7 +219,7 @@ def diffusion_spectrum(spark, sf_dir):
         values = np.linalg.eigvalsh(k / np.sqrt(np.outer(degree, degree)))[::-1][:5]
         return pd.DataFrame({"label": int(pdf["label"].iloc[0]), "mode": range(len(values)), "value": values.round(6)})
 
-    return _kernel(spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, mode int, value double")
+    return dense(_kernel(spark, sf_dir), spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, mode int, value double")
 
 
 QUERIES = {
@@ -165,7 +227,7 @@ QUERIES = {
     for f in (pairwise_topk, knn_edges, knn_components, graph_diagnostics, double_center, diffusion_markov, diffusion_stationary, collision_rate, isomap, diffusion_spectrum)
 }
 
-_DIST = "e AS MATERIALIZED (SELECT label, vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings), d AS MATERIALIZED (SELECT a.label, a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.x, b.x), 6) AS w FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)"
+_DIST = "e AS MATERIALIZED (SELECT label, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), d AS MATERIALIZED (SELECT a.label, a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.x, b.x), 6) AS w FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)"
 _TOP = f"{_DIST}, t AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, src ORDER BY w, dst) AS rank FROM d) WHERE rank <= {K}), k AS MATERIALIZED (SELECT label, least(src, dst) AS src, greatest(src, dst) AS dst, min(w) AS w FROM t GROUP BY ALL)"
 _COMP = f"{_TOP}, b AS MATERIALIZED (SELECT label, src, dst FROM k UNION ALL SELECT label, dst, src FROM k), c AS (SELECT label, vec_id AS node, vec_id AS root FROM e UNION SELECT c.label, b.dst, c.root FROM c JOIN b ON b.label = c.label AND b.src = c.node WHERE c.root < b.dst), cc AS (SELECT label, node, min(root) AS component FROM c GROUP BY ALL)"
 _FULL = f"{_DIST}, f AS (SELECT label, src, dst, w FROM d UNION ALL SELECT label, vec_id, vec_id, 0 FROM e)"
@@ -176,8 +238,8 @@ ORACLES = {
     "knn_edges": f"WITH {_TOP} SELECT * FROM k",
     "knn_components": f"WITH RECURSIVE {_COMP} SELECT * FROM cc",
     "graph_diagnostics": f"WITH RECURSIVE {_COMP}, g AS (SELECT label, count(*) AS edges, round(avg(w), 5) AS mean_w, max(w) AS max_w, count(*) FILTER (w > 0.7) AS long_edges FROM k GROUP BY label), n AS (SELECT label, component, count(*) AS n FROM cc GROUP BY ALL) SELECT g.*, count(*) AS components, (sum(n) * (sum(n) - 1) / 2 - sum(n * (n - 1) / 2))::BIGINT AS infinite_pairs FROM g JOIN n USING (label) GROUP BY ALL",
-    "double_center": f"WITH {_FULL} SELECT label, src, dst, round(-0.5 * (w * w - avg(w * w) OVER (PARTITION BY label, src) - avg(w * w) OVER (PARTITION BY label, dst) + avg(w * w) OVER (PARTITION BY label)), 5) AS b FROM f",
+    "double_center": f"WITH {_FULL} SELECT label, src, dst, round(-0.5 * (w * w - avg(w * w) OVER (PARTITION BY label, src) - avg(w * w) OVER (PARTITION BY label, dst) + avg(w * w) OVER (PARTITION BY label)) + 1e-12, 5) AS b FROM f",
     "diffusion_markov": f"WITH {_KERNEL}, p AS (SELECT label, src, dst, k / sum(k) OVER (PARTITION BY label, src) AS p FROM kk) SELECT label, src, round(sum(p), 6) AS total, round(max(p) FILTER (src = dst), 6) AS stay, round(sum(-p * ln(p)), 5) AS entropy FROM p GROUP BY ALL",
     "diffusion_stationary": f"WITH {_KERNEL}, s AS (SELECT label, src, sum(k) AS d FROM kk GROUP BY ALL) SELECT label, src, round(d / sum(d) OVER (PARTITION BY label), 8) AS pi FROM s",
-    "collision_rate": "WITH e AS (SELECT label, vec_id, embedding[1]::DOUBLE AS c, list_transform(embedding[2:8], lambda v: v::DOUBLE) AS y FROM embeddings) SELECT a.label, count(*) AS near, count(*) FILTER (list_distance(a.y, b.y) > 0.5) AS far, round(count(*) FILTER (list_distance(a.y, b.y) > 0.5) / count(*), 6) AS rate FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id AND abs(a.c - b.c) <= 0.05 GROUP BY a.label",
+    "collision_rate": "WITH e AS (SELECT label, vec_id, embedding[1]::DOUBLE AS c, list_transform(embedding[2:], lambda v: v::DOUBLE) AS y FROM embeddings) SELECT a.label, count(*) AS near, count(*) FILTER (list_distance(a.y, b.y) > 0.5) AS far, round(count(*) FILTER (list_distance(a.y, b.y) > 0.5) / count(*), 6) AS rate FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id AND abs(a.c - b.c) <= 0.05 GROUP BY a.label",
 }

@@ -1,18 +1,24 @@
 """Sequence operators over ``events``: one sequence a user, ordered by time, values standardised by user.
 
-Recursions are SQL folds on one array a user; window operators need no array at all.
+Recursions run along the sorted rows of a partition with a state of fixed size (``functions.scans``); window
+operators need no array at all.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.functions.folds import kalman, open_loop_variance, sequence_of, smoother
+from lumenframe.functions.folds import open_loop_variance
+from lumenframe.functions.scans import euler_steps, filter_steps, grid_nll, ordered, smoother_steps
 from lumenframe.sources.tables import table
 
 A, Q, R = 0.85, 0.1, 0.4
+#: Rate, gain and step of the driven state.
+DRIVEN = (-0.6, 0.8, 0.05)
 #: The selection grid of (a, q, r). Fixed values.
 GRID = [(a, q, r) for a in (0.70, 0.85, 0.95) for q in (0.05, 0.10, 0.20) for r in (0.20, 0.40, 0.80)]
 
@@ -28,47 +34,64 @@ def standard(spark, sf_dir) -> DataFrame:
     )
 
 
-def _sequences(events: DataFrame, *extra: str) -> DataFrame:
-    return events.groupBy("user_id", *extra).agg(sequence_of("t", "x", "seen").alias("seq"))
+def _in_order(events: DataFrame) -> DataFrame:
+    """``standard`` has been dealt by user for its windows; only the order is left to make."""
+    return ordered(events, "user_id", "t", dealt=True)
+
+
+def _steps(spark, sf_dir) -> DataFrame:
+    return filter_steps(_in_order(standard(spark, sf_dir)), "user_id", A, Q, R)
 
 
 def kalman_filter_steps(spark, sf_dir):
-    steps = _sequences(standard(spark, sf_dir)).select("user_id", F.explode(kalman(F.col("seq"), A, Q, R)).alias("s"))
-    return steps.select("user_id", "s.t", *(F.round(f"s.{c}", 6).alias(c) for c in ("pm", "pv", "m", "v", "inn", "nll")))
+    return _steps(spark, sf_dir).select("user_id", "t", *(F.round(c, 6).alias(c) for c in ("pm", "pv", "m", "v", "inn", "nll")))
 
 
 def kalman_filter_final(spark, sf_dir):
-    done = _sequences(standard(spark, sf_dir)).select("user_id", kalman(F.col("seq"), A, Q, R).alias("steps"))
-    last = F.element_at("steps", -1)
-    total = F.aggregate("steps", F.lit(0.0), lambda acc, s: acc + F.coalesce(s["nll"], F.lit(0.0)))
-    return done.select("user_id", F.size("steps").cast("bigint").alias("n_steps"), F.round(last["m"], 6).alias("mean"), F.round(last["v"], 6).alias("var"), F.round(total, 5).alias("nll"))
+    last = F.max(F.struct("t", "m", "v"))
+    done = _steps(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n_steps"), last.alias("last"), F.sum("nll").alias("nll"))
+    return done.select("user_id", "n_steps", F.round("last.m", 6).alias("mean"), F.round("last.v", 6).alias("var"), F.round("nll", 5).alias("nll"))
 
 
 def rts_smoother(spark, sf_dir):
-    steps = _sequences(standard(spark, sf_dir)).select("user_id", kalman(F.col("seq"), A, Q, R).alias("steps"))
-    out = steps.select("user_id", F.explode(smoother(F.col("steps"), A)).alias("s"))
-    return out.select("user_id", "s.t", F.round("s.sm", 6).alias("sm"), F.round("s.sv", 6).alias("sv"))
+    return smoother_steps(_steps(spark, sf_dir), "user_id", A).select("user_id", "t", F.round("sm", 6).alias("sm"), F.round("sv", 6).alias("sv"))
 
 
 def lgssm_grid_select(spark, sf_dir):
-    """Mean filter NLL of each grid point on two thirds of the users, best first; 20 steps a user."""
-    events = standard(spark, sf_dir).where("t < 20 and user_id % 3 < 2").withColumn("seen", F.lit(True))
-    grid = spark.createDataFrame(GRID, "a double, q double, r double")
-    scored = _sequences(events).crossJoin(F.broadcast(grid)).select("user_id", "a", "q", "r", kalman(F.col("seq"), F.col("a"), F.col("q"), F.col("r")).alias("steps"))
-    one = scored.select("user_id", "a", "q", "r", F.aggregate("steps", F.lit(0.0), lambda acc, s: acc + s["nll"]).alias("nll"), F.size("steps").alias("n"))
+    """Mean filter NLL over seen steps at each grid point, on the users of two splits; best first."""
+    scored = grid_nll(_in_order(standard(spark, sf_dir).where("user_id % 3 < 2")), "user_id", GRID)
+    grid = spark.createDataFrame([(k, *p) for k, p in enumerate(GRID)], "point int, a double, q double, r double")
     split = [F.sum(F.when(F.col("user_id") % 3 == k, F.col("nll"))) / F.sum(F.when(F.col("user_id") % 3 == k, F.col("n"))) for k in (0, 1)]
-    means = one.groupBy("a", "q", "r").agg(F.round(split[0], 6).alias("train_nll"), F.round(split[1], 6).alias("validation_nll"), F.round(split[0] + split[1], 6).alias("score"))
-    return means.withColumn("rank", F.row_number().over(W.orderBy("score", "a", "q", "r")).cast("bigint"))  # a row for each grid point
+    means = scored.groupBy("point").agg(F.round(split[0], 6).alias("train_nll"), F.round(split[1], 6).alias("validation_nll"), F.round(split[0] + split[1], 6).alias("score"))
+    named = means.join(F.broadcast(grid), "point").drop("point")  # a row for each grid point
+    return named.withColumn("rank", F.row_number().over(W.orderBy("score", "a", "q", "r")).cast("bigint"))
 
 
 def false_continuation(spark, sf_dir):
     """Negative control: pairs of users filtered as one sequence; the state at the second's first step."""
-    events = standard(spark, sf_dir).withColumn("pair", F.floor(F.col("user_id") / 2).cast("bigint"))
-    joined = events.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("user_id", "t", "x", "seen"))).alias("rows"))
-    seq = F.transform("rows", lambda r, i: F.struct(i.cast("bigint").alias("t"), r["x"].alias("x"), r["seen"].alias("seen")))
-    steps = joined.select("pair", "rows", kalman(seq, A, Q, R).alias("steps"))
-    both = steps.select("pair", F.explode(F.arrays_zip("rows", "steps")).alias("z")).where(F.col("z.rows.t") == 0)
-    return both.select("pair", F.col("z.rows.user_id").alias("user_id"), F.round("z.steps.pm", 6).alias("pm"), F.round("z.steps.m", 6).alias("m"))
+    pair = F.floor(F.col("user_id") / 2).cast("bigint")
+    rows = standard(spark, sf_dir).select(pair.alias("pair"), (F.col("user_id") * (1 << 32) + F.col("t")).alias("t"), "x", "seen")  # users one after the other
+    both = filter_steps(ordered(rows, "pair", "t"), "pair", A, Q, R).where(F.col("t") % (1 << 32) == 0)
+    return both.select("pair", F.floor(F.col("t") / (1 << 32)).cast("bigint").alias("user_id"), F.round("pm", 6).alias("pm"), F.round("m", 6).alias("m"))
+
+
+def input_rollout(spark, sf_dir):
+    """A state driven by each sequence, in Euler steps."""
+    return euler_steps(_in_order(standard(spark, sf_dir)).withColumnRenamed("x", "u"), "user_id", *DRIVEN).select("user_id", "t", F.round("z", 7).alias("z"))
+
+
+def input_secants(spark, sf_dir):
+    """Forward difference quotients with the state and the input at their left."""
+    w = _by_time()
+    made = standard(spark, sf_dir).select("user_id", "t", "x", F.round((F.lead("x").over(w) - F.col("x")) / 0.05, 7).alias("dx"), F.col("seen").cast("int").alias("u"))
+    return made.where("dx is not null")
+
+
+def stationary_mean(spark, sf_dir):
+    """The baseline that predicts the stationary mean, 0, at every step: its error and NLL."""
+    var = Q / (1 - A * A) + R
+    nll = F.avg((F.log(F.lit(2 * math.pi * var)) + F.pow("x", 2) / var) * 0.5)
+    return standard(spark, sf_dir).where("seen").groupBy("user_id").agg(F.round(F.sqrt(F.avg(F.pow("x", 2))), 6).alias("rmse"), F.round(nll, 6).alias("nll"))
 
 
 def persistence(spark, sf_dir):
@@ -133,9 +156,9 @@ def shift_edge(spark, sf_dir):
 
 def interval_coverage(spark, sf_dir):
     """Share of seen steps inside the filter's 95 % predictive interval, mean variance, squared error."""
-    steps = _sequences(standard(spark, sf_dir)).select("user_id", F.explode(kalman(F.col("seq"), A, Q, R)).alias("s")).where("s.inn is not null")
-    inside = (F.abs(F.col("s.inn")) <= 1.959963984540054 * F.sqrt("s.s")).cast("double")
-    return steps.groupBy("user_id").agg(F.round(F.avg(inside), 6).alias("coverage"), F.round(F.sqrt(F.avg(F.col("s.inn") * F.col("s.inn"))), 6).alias("rmse"), F.round(F.avg("s.v"), 6).alias("mean_var"))
+    steps = _steps(spark, sf_dir).where("inn is not null")
+    inside = (F.abs("inn") <= 1.959963984540054 * F.sqrt("s")).cast("double")
+    return steps.groupBy("user_id").agg(F.round(F.avg(inside), 6).alias("coverage"), F.round(F.sqrt(F.avg(F.col("inn") * F.col("inn"))), 6).alias("rmse"), F.round(F.avg("v"), 6).alias("mean_var"))
 
 
 def unwrapped_span(spark, sf_dir):
@@ -150,8 +173,6 @@ def unwrapped_span(spark, sf_dir):
 
 def let_wrapped(step):
     """An angle difference moved into (-pi, pi]."""
-    import math
-
     return step - 2 * math.pi * F.ceil((step - math.pi) / (2 * math.pi))
 
 
@@ -159,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kalman_filter_final, kalman_filter_steps, rts_smoother, lgssm_grid_select, false_continuation, persistence, open_loop, open_loop_variance_horizons,
-        moving_average3, central_derivative, savgol5, lag1_autocorrelation, shift_edge, interval_coverage, unwrapped_span,
+        moving_average3, central_derivative, savgol5, lag1_autocorrelation, shift_edge, interval_coverage, unwrapped_span, input_rollout, input_secants, stationary_mean,
     )
 }
 
@@ -195,8 +216,8 @@ ORACLES = {
   SELECT f.user_id, t, m AS sm, v AS sv, pm, pv FROM f JOIN n ON n.user_id = f.user_id AND f.t = last
   UNION ALL SELECT f.user_id, f.t, f.m + f.v * {A} / g.pv * (g.sm - g.pm), f.v + (f.v * {A} / g.pv) * (f.v * {A} / g.pv) * (g.sv - g.pv), f.pm, f.pv FROM g JOIN f ON f.user_id = g.user_id AND f.t = g.t - 1)
 SELECT user_id, t, round(sm, 6) AS sm, round(sv, 6) AS sv FROM g""",
-    "lgssm_grid_select": f"""WITH RECURSIVE {STANDARD}, c AS MATERIALIZED (SELECT z.user_id, z.t, z.x, true AS seen, a, q, r FROM z, (SELECT unnest([0.70, 0.85, 0.95])::DOUBLE AS a), (SELECT unnest([0.05, 0.10, 0.20])::DOUBLE AS q), (SELECT unnest([0.20, 0.40, 0.80])::DOUBLE AS r) WHERE t < 20 AND user_id % 3 < 2),
-{_filter("c", "user_id", ", a, q, r", "a", "q", "r")}, s AS (SELECT a, q, r, user_id % 3 AS k, 0.5 * (ln(2 * pi() * (pv + r)) + (x - pm) * (x - pm) / (pv + r)) AS nll FROM f), w AS (SELECT a, q, r, avg(nll) FILTER (k = 0) AS tr, avg(nll) FILTER (k = 1) AS va FROM s GROUP BY a, q, r)
+    "lgssm_grid_select": f"""WITH RECURSIVE {STANDARD}, c AS MATERIALIZED (SELECT z.user_id, z.t, z.x, z.seen, a, q, r FROM z, (SELECT unnest([0.70, 0.85, 0.95])::DOUBLE AS a), (SELECT unnest([0.05, 0.10, 0.20])::DOUBLE AS q), (SELECT unnest([0.20, 0.40, 0.80])::DOUBLE AS r) WHERE user_id % 3 < 2),
+{_filter("c", "user_id", ", a, q, r", "a", "q", "r")}, s AS (SELECT a, q, r, user_id % 3 AS k, 0.5 * (ln(2 * pi() * (pv + r)) + (x - pm) * (x - pm) / (pv + r)) AS nll FROM f WHERE seen), w AS (SELECT a, q, r, avg(nll) FILTER (k = 0) AS tr, avg(nll) FILTER (k = 1) AS va FROM s GROUP BY a, q, r)
 SELECT a, q, r, round(tr, 6) AS train_nll, round(va, 6) AS validation_nll, round(tr + va, 6) AS score, row_number() OVER (ORDER BY round(tr + va, 6), a, q, r) AS rank FROM w""",
     "false_continuation": f"WITH RECURSIVE {STANDARD}, c AS MATERIALIZED (SELECT user_id // 2 AS pair, user_id, t AS t0, row_number() OVER (PARTITION BY user_id // 2 ORDER BY user_id, t) - 1 AS t, x, seen FROM z), {_filter('c', 'pair')} SELECT c.pair, c.user_id, round(pm, 6) AS pm, round(m, 6) AS m FROM f JOIN c ON c.pair = f.pair AND c.t = f.t WHERE t0 = 0",
     "persistence": f"WITH {STANDARD} SELECT user_id, t, coalesce(last_value(CASE WHEN seen THEN x END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS x_hat FROM z",
@@ -209,4 +230,7 @@ SELECT a, q, r, round(tr, 6) AS train_nll, round(va, 6) AS validation_nll, round
     "shift_edge": f"WITH {STANDARD} SELECT user_id, t, coalesce(lag(x, 2) OVER w, first_value(x) OVER w) AS x2 FROM z WINDOW w AS (PARTITION BY user_id ORDER BY t)",
     "interval_coverage": f"WITH RECURSIVE {STANDARD}, {_filter()} SELECT user_id, round(avg((abs(x - pm) <= 1.959963984540054 * sqrt(pv + {R}))::INT), 6) AS coverage, round(sqrt(avg((x - pm) * (x - pm))), 6) AS rmse, round(avg(v), 6) AS mean_var FROM f WHERE seen GROUP BY user_id",
     "unwrapped_span": f"WITH {STANDARD}, a AS (SELECT user_id, t, atan2(x, lead(x) OVER (PARTITION BY user_id ORDER BY t)) AS a FROM z), d AS (SELECT user_id, t, a - lag(a) OVER (PARTITION BY user_id ORDER BY t) AS s FROM a WHERE a IS NOT NULL), u AS (SELECT user_id, sum(coalesce(s - 2 * pi() * ceil((s - pi()) / (2 * pi())), 0)) OVER (PARTITION BY user_id ORDER BY t) AS u FROM d) SELECT user_id, round(max(u) - min(u), 5) AS span FROM u GROUP BY user_id",
+    "input_rollout": f"WITH RECURSIVE {STANDARD}, g AS (SELECT user_id, t, x, 0::DOUBLE AS z FROM z WHERE t = 0 UNION ALL SELECT z.user_id, z.t, z.x, g.z + {DRIVEN[2]}::DOUBLE * ({DRIVEN[0]}::DOUBLE * g.z + {DRIVEN[1]}::DOUBLE * g.x) FROM g JOIN z ON z.user_id = g.user_id AND z.t = g.t + 1) SELECT user_id, t, round(z, 7) AS z FROM g",
+    "input_secants": f"WITH {STANDARD}, d AS (SELECT user_id, t, x, round((lead(x) OVER (PARTITION BY user_id ORDER BY t) - x) / 0.05::DOUBLE, 7) AS dx, seen::INT AS u FROM z) SELECT * FROM d WHERE dx IS NOT NULL",
+    "stationary_mean": f"WITH {STANDARD} SELECT user_id, round(sqrt(avg(x * x)), 6) AS rmse, round(avg(0.5 * (ln(2 * pi() * {Q / (1 - A * A) + R!r}) + x * x / {Q / (1 - A * A) + R!r})), 6) AS nll FROM z WHERE seen GROUP BY user_id",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.functions.ranks import value_ranks
 from lumenframe.plans.status import RESULTS, STATUSES, results, row_key
 from lumenframe.sources.tables import table
 
@@ -42,9 +43,11 @@ def two_level_median(spark, sf_dir):
 
 def nearest_rank_quantile(spark, sf_dir):
     """The value at position round-half-even(p (n-1)) of a group in order."""
-    w = W.partitionBy("task", "scenario")
-    ranked = results(spark, sf_dir).where("value is not null").select("task", "scenario", "value", (F.row_number().over(w.orderBy("value", "event_id")) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("k") == F.bround(F.lit(p) * (F.col("n") - 1)).cast("long"), F.col("value")))
+    rows = results(spark, sf_dir).where("value is not null").select("task", "scenario", "value")
+    total = rows.groupBy("task", "scenario").agg(F.count("*").alias("of"))
+    ranked = value_ranks(rows, ["task", "scenario"], "value").join(total, ["task", "scenario"])
+    k = lambda p: F.bround(F.lit(p) * (F.col("of") - 1)).cast("long")
+    at = lambda p: F.max(F.when((F.col("before") <= k(p)) & (k(p) < F.col("before") + F.col("n")), F.col("value")))
     return ranked.groupBy("task", "scenario").agg(at(0.1).alias("q10"), at(0.5).alias("q50"), at(0.9).alias("q90"))
 
 
@@ -131,13 +134,10 @@ def learned_minus_known(spark, sf_dir):
 def spearman(spark, sf_dir):
     """Rank correlation of quantity and price by line number, mean ranks for ties."""
     rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", "l_extendedprice")
-
-    def mean_rank(c):
-        own = W.partitionBy("l_linenumber")
-        return F.rank().over(own.orderBy(c)) + (F.count("*").over(W.partitionBy("l_linenumber", c)) - 1) / 2
-
-    ranked = rows.select("l_linenumber", mean_rank("l_quantity").alias("a"), mean_rank("l_extendedprice").alias("b"))
-    return ranked.groupBy("l_linenumber").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+    for column, out in (("l_quantity", "a"), ("l_extendedprice", "b")):
+        ranks = value_ranks(rows, ["l_linenumber"], column)
+        rows = rows.join(ranks.select("l_linenumber", column, (F.col("before") + (F.col("n") + 1) / 2).alias(out)), ["l_linenumber", column])
+    return rows.groupBy("l_linenumber").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
 
 
 QUERIES = {

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.operators.fitted import condition
-from lumenframe.plans.status import finite_or_invalid, row_key
+from lumenframe.plans.status import finite_or_invalid, summarised
 
 #: Scenario: class, a, q, r, length, hidden block. Fixed values.
 SCENARIOS = {
@@ -31,31 +31,41 @@ SCENARIOS = {
     "reset_boundary": ("reset_boundary_failure", 0.85, 0.10, 0.40, 60, None),
     "near_unit_root": ("near_unit_root_stress", 0.99, 0.02, 0.40, 120, None),
 }
-#: Method: kind, parameters, the only scenario it applies to. Fixed values.
+#: Method: kind, parameters, the only scenario it applies to, family, information set, parameter source, target. Fixed values.
 METHODS = {
-    "stationary_mean": ("point", "none", None),
-    "persistence": ("point", "none", None),
-    "open_loop": ("point", "known", None),
-    "known_kalman_filter": ("filter", "known", None),
-    "known_rts_smoother": ("smoother", "known", None),
-    "batch_conditioning_oracle": ("smoother", "known", None),
-    "selected_kalman_filter": ("filter", "selected", None),
-    "selected_rts_smoother": ("smoother", "selected", None),
-    "misspecified_kalman_filter": ("filter", "wrong", "wrong_parameters"),
-    "misspecified_rts_smoother": ("smoother", "wrong", "wrong_parameters"),
-    "false_continuation_filter": ("filter", "known", "reset_boundary"),
+    "stationary_mean": ("point", "none", None, "stationary_mean", "fixed_reference", "none", "point_state"),
+    "persistence": ("point", "none", None, "persistence_open_loop", "online_observation_history", "none", "point_state"),
+    "open_loop": ("point", "known", None, "persistence_open_loop", "online_first_observation", "known_true", "point_state"),
+    "known_kalman_filter": ("filter", "known", None, "known_parameter_kalman", "online_current_and_past", "known_true", "online_state"),
+    "known_rts_smoother": ("smoother", "known", None, "fixed_interval_rts", "retrospective_full_interval", "known_true", "retrospective_state"),
+    "batch_conditioning_oracle": ("smoother", "known", None, "direct_batch_conditioning", "oracle_retrospective_full_interval", "known_true", "retrospective_state"),
+    "selected_kalman_filter": ("filter", "selected", None, "finite_grid_selected", "online_current_and_past", "selected_train_validation", "online_state"),
+    "selected_rts_smoother": ("smoother", "selected", None, "finite_grid_selected", "retrospective_full_interval", "selected_train_validation", "retrospective_state"),
+    "misspecified_kalman_filter": ("filter", "wrong", "wrong_parameters", "wrong_parameter_control", "online_current_and_past", "predeclared_wrong", "online_state"),
+    "misspecified_rts_smoother": ("smoother", "wrong", "wrong_parameters", "wrong_parameter_control", "retrospective_full_interval", "predeclared_wrong", "retrospective_state"),
+    "false_continuation_filter": ("filter", "known", "reset_boundary", "reset_boundary_negative_control", "invalid_cross_sequence_history", "known_true", "online_state"),
 }
+#: Targets of metrics that aren't a method's state. Fixed values.
+TARGETS = {"predictive_nll": "one_step_observation_prediction", "selection_parameter_l1": "selected_parameter_tuple", "reset_first_state_abs_difference": "boundary_reset_diagnostic", "oracle_mean_discrepancy": "numerical_correctness_reference"}
 METRICS = ("latent_rmse", "predictive_nll", "interval_95_coverage", "mean_posterior_variance", "inside_missing_block_rmse", "outside_missing_block_rmse", "selection_parameter_l1", "oracle_mean_discrepancy", "reset_first_state_abs_difference")
+#: Wrong parameters, the grid, seed and sizes; the reasons in ``reason_against`` are fixed values, too.
 WRONG = (0.60, 0.025, 0.80)
 GRID = [(a, q, r) for a in (0.60, 0.85, 0.97) for q in (0.025, 0.10, 0.40) for r in (0.10, 0.40, 0.80)]
 SEED, REPLICATES, SEQUENCES = 20260820, 5, 2
-SCHEMA = "scenario string, scenario_class string, replicate int, method string, metric string, value double, status string, reason string, selected_a double, selected_q double, selected_r double"
+SCHEMA = (
+    "scenario string, scenario_class string, replicate int, split string, method string, method_family string, information_set string, parameter_source string, target string, metric string, value double, status string, reason string, "
+    "seed_id string, true_a double, true_q double, true_r double, sequence_length int, missing_start int, missing_end int, selected_a double, selected_q double, selected_r double, inference_a double, inference_q double, inference_r double"
+)
+
+
+def _code(scenario: str) -> int:
+    return int.from_bytes(hashlib.sha256(scenario.encode()).digest()[:4], "big")
 
 
 def draw(scenario: str, replicate: int, split: int) -> tuple[np.ndarray, np.ndarray]:
     """(latent, observed), a row for each sequence; every step takes a state and an observation deviate."""
     _, a, q, r, length, _ = SCENARIOS[scenario]
-    code = int.from_bytes(hashlib.sha256(scenario.encode()).digest()[:4], "big")
+    code = _code(scenario)
     e = np.stack([np.random.Generator(np.random.PCG64(np.random.SeedSequence((SEED, code, replicate, split, k)))).standard_normal((length, 2)) for k in range(SEQUENCES)])
     z = e[:, :, 0] * np.sqrt(q)
     z[:, 0] = e[:, 0, 0] * np.sqrt(q / (1 - a * a))
@@ -117,7 +127,7 @@ def infer(method: str, x: np.ndarray, seen: np.ndarray, p: tuple[float, float, f
 
 def reason_against(scenario: str, method: str, metric: str) -> str | None:
     """Why a cell doesn't apply, before anything is worked out."""
-    kind, source, only = METHODS[method]
+    kind, source, only = METHODS[method][:3]
     if only and scenario != only:
         return "wrong-parameter control is predeclared only for wrong_parameters" if source == "wrong" else "false continuation is predeclared only for reset_boundary"
     return {
@@ -144,7 +154,7 @@ def evaluate(scenario: str, replicate: int) -> pd.DataFrame:
     params = {"none": truth, "known": truth, "selected": selected, "wrong": WRONG}
     known = infer("known_kalman_filter", x, seen, truth)
     rows = []
-    for method, (_, source, _) in METHODS.items():
+    for method, (_, source, _, *about, state) in METHODS.items():
         out = None
         for metric in METRICS:
             reason, value = reason_against(scenario, method, metric), None
@@ -170,8 +180,10 @@ def evaluate(scenario: str, replicate: int) -> pd.DataFrame:
                     value = max(float(np.abs(out["mean"][:, k] - batch(x[:, : k + 1], seen[: k + 1], *truth)["mean"][:, -1]).max()) for k in range(length))
                 else:
                     value = float(np.abs(out["mean"] - batch(x, seen, *truth)["mean"]).max())
-            rows.append((scenario, name, replicate, method, metric, value, "ok" if reason is None else "inapplicable", reason, *selected))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            used = (None, None, None) if source == "none" else params[source]
+            rows.append((scenario, name, replicate, "test", method, *about, TARGETS.get(metric, state), metric, value, "ok" if reason is None else "inapplicable", reason, f"pcg64:{SEED}:{_code(scenario)}:{replicate}", a, q, r, length, *(block or (None, None)), *selected, *used))
+    made = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    return made.astype({"missing_start": "Int32", "missing_end": "Int32", **{f"inference_{c}": "float64" for c in "aqr"}})
 
 
 def linear_gaussian_results(spark, sf_dir) -> DataFrame:
@@ -181,18 +193,12 @@ def linear_gaussian_results(spark, sf_dir) -> DataFrame:
         return evaluate(pdf["scenario"].iloc[0], int(pdf["replicate"].iloc[0]))
 
     rows = finite_or_invalid(seeds.groupBy("scenario", "replicate").applyInPandas(run, SCHEMA))
-    return rows.withColumn("row_key", F.concat_ws("|", "scenario", F.col("replicate").cast("string"), F.lit("test"), "method", "metric"))
+    return rows.withColumn("row_key", F.concat_ws("|", "scenario", F.col("replicate").cast("string"), "split", "method", "metric"))
 
 
 def linear_gaussian_summary(spark, sf_dir) -> DataFrame:
     """q10, median, q90 over ok rows and rates over all rows by scenario, method, metric."""
-    share = lambda c: F.avg(c.cast("double"))
-    q = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    made = linear_gaussian_results(spark, sf_dir).groupBy("scenario", "method", "metric").agg(
-        F.count("*").alias("n_rows"), F.count("value").alias("n_ok"), q.alias("q"), share(F.col("status") == "ok").alias("ok_rate"),
-        share(F.col("status").isin("invalid", "nonconvergence")).alias("failure_rate"), share(F.col("status") != "inapplicable").alias("applicability_rate"),
-    )
-    return made.select(row_key("scenario", "method", "metric").alias("key"), "*", *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("q10", "median", "q90")))).drop("q")
+    return summarised(linear_gaussian_results(spark, sf_dir), ["scenario", "method", "metric"])
 
 
 QUERIES = {f.__name__: f for f in (linear_gaussian_results, linear_gaussian_summary)}

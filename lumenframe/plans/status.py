@@ -28,6 +28,18 @@ def finite_or_invalid(frame: DataFrame) -> DataFrame:
     })
 
 
+def summarised(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """q10, median and q90 over ok rows (null without any), rates over all rows, by ``keys``."""
+    share = lambda c: F.avg(c.cast("double"))
+    ok = F.col("status") == "ok"
+    q = F.percentile(F.when(ok, F.col("value")), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    made = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), F.count_if(ok).alias("n_ok"), q.alias("q"), share(ok).alias("ok_rate"),
+        share(F.col("status").isin("invalid", "nonconvergence")).alias("failure_rate"), share(F.col("status") != "inapplicable").alias("applicability_rate"),
+    )
+    return made.select(row_key(*keys).alias("key"), "*", *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("q10", "median", "q90")))).drop("q")
+
+
 def results(spark, sf_dir) -> DataFrame:
     """``events`` read as result rows: task = event type, scenario = day of week, method = user mod 5."""
     e = table(spark, sf_dir, "events")

@@ -7,16 +7,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.session import prepare
+
 SEED = 20260819
 
 
-def stream(*words: int) -> np.random.Generator:
-    return np.random.Generator(np.random.PCG64(np.random.SeedSequence((SEED, *words))))
+def stream(*words: int, seed: int = SEED) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64(np.random.SeedSequence((seed, *words))))
 
 
 def units(spark: SparkSession, scenarios: int, replicates: int, each: int) -> DataFrame:
     """scenario, replicate, unit: a row for each unit to draw."""
-    return spark.range(scenarios * replicates * each).selectExpr(f"cast(id div {replicates * each} as int) scenario", f"cast(id div {each} % {replicates} as int) replicate", f"cast(id % {each} as int) unit")
+    return prepare(spark).range(scenarios * replicates * each).selectExpr(f"cast(id div {replicates * each} as int) scenario", f"cast(id div {each} % {replicates} as int) replicate", f"cast(id % {each} as int) unit")
 
 
 def _draw(seeds: DataFrame, one, schema: str) -> DataFrame:

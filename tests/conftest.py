@@ -2,6 +2,9 @@ import os
 import sys
 from pathlib import Path
 
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):  # small matrices: threads that wait for each other cost more than they bring
+    os.environ.setdefault(name, "1")
+
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
@@ -16,7 +19,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g").config("spark.python.worker.reuse", "true")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

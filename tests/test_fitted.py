@@ -52,11 +52,39 @@ def test_fits_on_known_truth(spark):
     fields = {(r["replicate"], r["model"]): r for r in fitted.field_fit(spark, "").collect()}
     assert all(fields[k, "cubic"]["rollout_rmse"] < 0.05 < fields[k, "affine"]["rollout_rmse"] for k in (0, 1))
     assert all(r["value"] >= 0.9 for r in fitted.demixing(spark, "").where("metric = 'accuracy'").collect())
-    auto = {(r["hidden"], r["seed"]): r for r in fitted.autoencoder(spark, "").collect()}
-    assert min(auto[8, 0]["mse"], auto[8, 1]["mse"]) < auto[0, 0]["mse"]
+    assert all(r["value"] < 0.5 for r in fitted.demixing(spark, "").where("metric = 'nmse' and target <> 'interaction'").collect())
+    auto = {r["method"]: r for r in fitted.autoencoder(spark, "").where("chosen").collect()}
+    assert auto["nonlinear"]["mse"] < auto["linear"]["mse"] < auto["frozen"]["mse"] * 3 and auto["nonlinear"]["rank_correlation"] > 0.8
     assert all(r["rmse_seen"] < 1 for r in fitted.gp_posterior(spark, "").collect())
 
 
+def test_gradients_by_central_differences():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 6))
+    for hidden in (0, 4):
+        sizes, bent = fitted.layers(6, hidden)
+        params = [v for a, b in sizes for v in (rng.normal(size=(a, b)), rng.normal(size=b))]
+        _, grads = fitted.loss_and_gradients(x, params, bent)
+        for k, v in enumerate(params):
+            at = tuple(rng.integers(0, n) for n in v.shape)
+            old, sides = v[at], []
+            for step in (1e-6, -1e-6):
+                v[at] = old + step
+                sides.append(fitted.loss_and_gradients(x, params, bent)[0])
+            v[at] = old
+            assert (sides[0] - sides[1]) / 2e-6 == pytest.approx(grads[k][at], abs=1e-6)
+
+
+def test_training_does_not_see_other_rows():
+    """Poisoned test rows change nothing; poisoned training rows do."""
+    rng = np.random.default_rng(6)
+    x, held = rng.normal(size=(40, 6)), rng.normal(size=(10, 6))
+    a = fitted.train_autoencoder(x, held, 3, 0, rounds=40)
+    b = fitted.train_autoencoder(x + 0, held + 0, 3, 0, rounds=40)
+    c = fitted.train_autoencoder(x * 1.5, held, 3, 0, rounds=40)
+    assert all(np.array_equal(u, v) for u, v in zip(a[1], b[1])) and not all(np.array_equal(u, v) for u, v in zip(a[1], c[1]))
+
+
 def test_draws_do_not_hang_on_partitions(spark):
     seeds = g.units(spark, 2, 2, 3)
     a = sorted(map(tuple, g.linear_sequences(seeds.repartition(1), 10).collect()))

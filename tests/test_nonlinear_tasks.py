@@ -1,0 +1,41 @@
+from collections import Counter
+
+import pytest
+
+from lumenframe.plans import nonlinear_task
+from lumenframe.plans.status import summarised
+
+
+def figures(rows, scenario):
+    made = summarised(rows.where(f"scenario = '{scenario}'"), ["scenario", "method", "metric"]).collect()
+    return {(r["method"], r["metric"]): [r[c] for c in ("q10", "median", "q90")] for r in made}
+
+
+def test_reconstruction(spark):
+    rows = nonlinear_task.reconstruction_results(spark).cache()
+    assert Counter(r["status"] for r in rows.collect()) == {"ok": 690, "inapplicable": 45}
+    mse = "observed_reconstruction_mse"
+    for scenario, method, want in (
+        ("reference_curved", "mean", (0.2234, 0.2423, 0.2552)), ("reference_curved", "pca", (0.0943, 0.1166, 0.1298)), ("reference_curved", "linear_autoencoder", (0.0943, 0.1166, 0.1298)),
+        ("reference_curved", "nonlinear_autoencoder", (0.0059, 0.0091, 0.0295)), ("reference_curved", "frozen_encoder", (0.0770, 0.1333, 0.1405)), ("moment_matched_gaussian", "pca", (0.0948, 0.1196, 0.1312)),
+        ("high_curvature", "nonlinear_autoencoder", (0.0085, 0.0091, 0.0100)), ("support_shift", "pca", (2.0082, 2.2370, 2.3075)),
+    ):
+        assert figures(rows, scenario)[method, mse] == pytest.approx(want, abs=2e-4), (scenario, method)
+    assert figures(rows, "reference_curved")["nonlinear_autoencoder", "code_abs_spearman_truth"][1] == pytest.approx(0.9975, abs=1e-3)
+    rows.unpersist()
+
+
+def test_graph(spark):
+    rows = nonlinear_task.graph_results(spark).cache()
+    assert Counter(r["status"] for r in rows.collect()) == {"ok": 299, "inapplicable": 3133}
+    s = figures(rows, "hairpin_reference")
+    for method, want in (("mean", (2.0374, 2.0554, 2.0647)), ("pca", (2.0371, 2.0548, 2.1343)), ("ambient_mds", (2.0371, 2.0548, 2.1343)), ("isomap", (1.9997, 2.0484, 2.1207))):
+        assert s[method, "heldout_coordinate_rmse"] == pytest.approx(want, abs=6e-5), method
+    assert s["graph_diagnostics", "graph_distance_relative_rmse"] == pytest.approx((0.4936, 0.5813, 0.6294), abs=6e-5)
+    assert figures(rows, "hairpin_sparse_gap")["graph_diagnostics", "infinite_pair_rate"] == pytest.approx((0.0942, 0.4708, 0.4890), abs=6e-5)
+    assert figures(rows, "hairpin_disconnected")["graph_diagnostics", "component_count"] == pytest.approx((35, 35, 35.8))
+    assert figures(rows, "hairpin_nearly_complete")["graph_diagnostics", "material_shortcut_rate"] == pytest.approx((0.3754, 0.4128, 0.4518), abs=6e-5)
+    c = figures(rows, "circle_nonuniform")
+    assert c["diffusion_maps", "diffusion_eigenspace_angle_max_degrees"] == pytest.approx((15.19, 20.13, 26.01), abs=6e-3) and c["nystrom_extension", "heldout_extension_rmse"] == pytest.approx((0.1342, 0.1718, 0.2133), abs=6e-5)
+    assert figures(rows, "circle_metric_scaling")["diffusion_maps", "diffusion_eigenspace_angle_max_degrees"] == pytest.approx((5.8798,) * 3, abs=6e-5)
+    rows.unpersist()

@@ -1,0 +1,34 @@
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lumenframe.plans import temporal_task as t
+from lumenframe.plans.status import summarised
+
+
+def test_whole_grid_with_its_statuses_and_published_figures(spark):
+    rows = t.temporal_covariance_results(spark).cache()
+    assert Counter(r["status"] for r in rows.collect()) == {"ok": 2049, "inapplicable": 1911}
+    assert rows.select("row_key").distinct().count() == 3960
+    s = {(r["method"], r["metric"]): r for r in summarised(rows.where("scenario = 'reference_distinct'"), ["scenario", "method", "metric"]).collect()}
+    figures = {
+        ("mean_diagonal", "masked_prediction_rmse"): (0.7530, 0.8646, 0.9850), ("static_factor", "masked_prediction_rmse"): (0.6091, 0.6261, 0.7862),
+        ("known_gpfa", "masked_prediction_rmse"): (0.5058, 0.5226, 0.5577), ("selected_gpfa", "masked_prediction_rmse"): (0.5058, 0.5226, 0.5577),
+        ("wrong_timescale_gpfa", "masked_prediction_rmse"): (0.5754, 0.5868, 0.6102), ("wrong_ar_gpfa", "masked_prediction_rmse"): (0.5161, 0.5666, 0.5795),
+        ("known_gpfa", "latent_rmse"): (0.2338, 0.2572, 0.2711), ("ar_rts_smoother", "latent_rmse"): (0.2580, 0.2741, 0.2796),
+        ("two_stage_pca_smooth", "latent_rmse"): (0.5243, 0.5455, 0.6454), ("ar_kalman_filter", "latent_rmse"): (0.3289, 0.3359, 0.4239),
+    }
+    for key, want in figures.items():
+        assert [s[key][c] for c in ("q10", "median", "q90")] == pytest.approx(want, abs=6e-5), key
+    assert s["known_gpfa", "posterior_mean_oracle_max_abs"]["q90"] < 2e-8
+    rows.unpersist()
+
+
+def test_filter_does_not_see_the_future():
+    y = t.draw("reference_distinct", 0, 3, 0)[1].ravel()
+    seen = t.mask("reference_distinct", 0, y.reshape(t.STEPS, -1))
+    later = y.copy()
+    later[-t.CHANNELS :] += 9
+    a, b = (t.filtered(v, seen, t.TRUE) for v in (y, later))
+    assert np.array_equal(a["mean"][:-1], b["mean"][:-1]) and not np.allclose(a["smooth"][0], b["smooth"][0], atol=1e-12)
