@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Make Python workers find this package and make sure that a checkpoint folder is set.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; it is left alone then. Only where
-    it is unset, as in tests, a folder of this machine is taken.
+    it is unset and all runs in one process, as in tests, a folder of this machine is taken.
     """
     sc = spark.sparkContext
     root = str(Path(__file__).resolve().parents[2])
@@ -28,14 +30,47 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark
 
 
+def unused(columns: Iterable[str], *wanted: str) -> list[str]:
+    """Names like those wanted that are no columns, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with at least one row in so many is hot; there are at most so many hot keys.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``small`` (one row a key; ``n``: how many of the ``total`` rows have the key).
+
+    Rows of hot keys stay where they are and meet at most HOT broadcast rows; the others are shuffled.
+    """
+    at_least = F.lit(max(2, total // HOT))
+    hot = small.where(F.col("n") >= at_least)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col("n") < at_least), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text`` with null read as empty; any other column is left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -73,3 +108,23 @@ def numbered(frame: DataFrame, group: str, order: list[str], out: str = "rank")
     within = Window.partitionBy(group, "__salt").orderBy(*order)
     ranked = salted.withColumn("__rank", F.row_number().over(within) - 1)
     return ranked.join(starts, [group, "__salt"]).withColumn(out, F.col("__rank") + F.col("__start")).drop("__salt", "__rank", "__start")
+
+
+#: Bits of a bitmap that goes to all tasks (2 MB, whatever the corpus). More values than that only make it useless.
+BITS = 1 << 24
+
+
+def bitmap(keys: DataFrame, bits: int = BITS) -> bytes:
+    """Bits that the values of the one column of ``keys`` set, by their remainder. ``bits`` / 8 bytes reach the driver."""
+    x = F.pmod(F.col(keys.columns[0]).cast("long"), F.lit(bits).cast("long")) + 1
+    parts = keys.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    out = bytearray(bits // 8)
+    for r in parts.collect():  # at most bits / 32768 rows
+        at = (r["b"] - 1) * 4096
+        out[at : at + 4096] = r["bits"]
+    return bytes(out)
+
+
+def is_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.mod(keys, len(bits) * 8)
+    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)

@@ -6,12 +6,16 @@ Chunks with at least two lines that aren't blank are counted over the whole corp
 bytes of those whose hash repeats are then compared with the first chunk's, and equal ones are removed.
 A chunk's first occurrence, by doc_id and place, stays.
 
-Counting moves one narrow row a chunk. Only chunks with a repeated hash move their bytes, and they meet
-one row a hash, never each other, so a chunk in a third of all documents costs in proportion to its number.
+Counting moves one narrow row a chunk; those of a hot hash stay where they are and meet its first place by
+broadcast (``common.hot_join``). The bytes of chunks with a repeated hash are compared by their least and
+greatest value for each hash, combined in each task first, so a chunk in a third of all documents is moved
+once a task. If any two differ, the chunks of those hashes are told apart by their bytes.
 
 Defined results: null text counts as one empty line and comes back as empty; repeats within a document
 count; rows that repeat both id and text count as one document and come back as often as they occur; a
-null doc_id counts as the largest; an empty table gives no rows; other columns come back unchanged.
+null doc_id counts as the largest; which of several equal chunks is the first is settled by doc_id, a hash of
+the text and the place; a text is cut whole, however long; an empty table gives no rows; other columns come
+back unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import per_batch, prepare
+from lumenframe.llm.common import hot_join, per_batch, prepare, unused
 
 SPAN, EVERY = 2, 3
 BASE, PRIME = 1_000_003, (1 << 31) - 1
@@ -60,9 +64,9 @@ def _chunks(text: str):
             yield no, "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
 
 
-def _hashes():
+def _hashes(bits: int):
     def step(batch: pa.RecordBatch):
-        rows = [(xxhash.xxh3_64_intdigest(data) - (1 << 63), i, no) for i, t in enumerate(batch.column(2)) for no, data in _chunks(t.as_py())]
+        rows = [((xxhash.xxh3_64_intdigest(data) >> 64 - bits) - (1 << 63), i, no) for i, t in enumerate(batch.column(2)) for no, data in _chunks(t.as_py())]
         if rows:
             h, at, no = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(batch.column(k).take(pa.array(at)) for k in (0, 1)), pa.array(no, pa.int32())], names=["hash", "doc", "mark", "no"])
@@ -70,29 +74,36 @@ def _hashes():
     return step
 
 
-def repeated(plain: DataFrame) -> DataFrame:
-    """``plain``: doc, mark (hash of the text), text -> (doc, mark, no): chunks to be removed, bytes compared."""
-    chunks = plain.mapInArrow(per_batch(_hashes), "hash long, doc long, mark long, no int").checkpoint()
+def repeated(plain: DataFrame, bits: int = 64) -> DataFrame:
+    """``plain``: doc, mark (hash of the text), text -> (doc, mark, no): chunks to be removed, bytes compared.
+    ``bits`` of a chunk's hash are used."""
+    chunks = plain.mapInArrow(per_batch(lambda: _hashes(bits)), "hash long, doc long, mark long, no int").checkpoint()
     place = F.struct("doc", "mark", "no")
-    often = chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
-    asked = chunks.join(often, "hash").select("doc", "mark", F.struct("no", "hash", (F.col("first") == place).alias("is_first")).alias("ask"))
-    by_document = asked.groupBy("doc", "mark").agg(F.array_distinct(F.collect_list("ask")).alias("asks"))  # of one document
+    often = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "n", "first").checkpoint()
+    asked = hot_join(chunks, often, "hash", chunks.count()).select("hash", "doc", "mark", "no", (F.col("first") == place).alias("is_first")).checkpoint()
+    by_document = asked.groupBy("doc", "mark").agg(F.collect_set(F.struct("no", "hash")).alias("asks"))  # of one document
 
     def make():
         def step(batch: pa.RecordBatch):
             rows = []
             for i, (text, asks) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                wanted = {a["no"]: a for a in asks.as_py()}
-                rows += [(i, wanted[no]["hash"], no, wanted[no]["is_first"], data) for no, data in _chunks(text.as_py()) if no in wanted]
+                wanted = {a["no"]: a["hash"] for a in asks.as_py()}
+                rows += [(i, wanted[no], no, data) for no, data in _chunks(text.as_py()) if no in wanted]
             if rows:
-                at, h, no, first, data = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in (0, 1)), pa.array(h, pa.int64()), pa.array(no, pa.int32()), pa.array(first, pa.bool_()), pa.array(data, pa.binary())], names=["doc", "mark", "hash", "no", "is_first", "data"])
+                at, h, no, data = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in (0, 1)), pa.array(h, pa.int64()), pa.array(no, pa.int32()), pa.array(data, pa.binary())], names=["doc", "mark", "hash", "no", "data"])
 
         return step
 
-    data = plain.join(by_document.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "asks").mapInArrow(per_batch(make), "doc long, mark long, hash long, no int, is_first boolean, data binary").checkpoint()
-    firsts = data.where("is_first").groupBy("hash").agg(F.min("data").alias("first_data"))
-    return data.where("not is_first").join(firsts, "hash").where("data = first_data").select("doc", "mark", "no")
+    data = plain.join(by_document.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "asks").mapInArrow(per_batch(make), "doc long, mark long, hash long, no int, data binary")
+    differ = data.groupBy("hash").agg(F.min("data").alias("low"), F.max("data").alias("high")).where("low <> high").select("hash").checkpoint()
+    later = asked.where("not is_first")
+    if differ.isEmpty():
+        return later.select("doc", "mark", "no")
+    mixed = data.join(differ, "hash", "left_semi").checkpoint()  # two chunks of one 64-bit hash
+    firsts = mixed.groupBy("hash", "data").agg(F.min(place).alias("first"))
+    equal = mixed.join(firsts, ["hash", "data"]).where(F.col("first") != place).select("doc", "mark", "no")
+    return later.join(differ, "hash", "left_anti").select("doc", "mark", "no").union(equal)
 
 
 def remove_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
@@ -101,10 +112,11 @@ def remove_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    gone = repeated(plain).groupBy("doc", "mark").agg(F.collect_set("no").alias("__gone")).checkpoint()  # of one document
     own = docs.drop("n_lines", "n_removed") if counts else docs
-    keyed = own.withColumns({"text": text, "__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__mark": F.xxhash64(text)})
-    joined = keyed.join(gone.withColumnsRenamed({"doc": "__doc", "mark": "__mark"}).hint("shuffle_hash"), ["__doc", "__mark"], "left").select(*own.columns, "__gone")
+    doc, mark, no = unused(own.columns, "doc", "mark", "gone")
+    gone = repeated(plain).groupBy("doc", "mark").agg(F.collect_set("no").alias("no")).checkpoint().toDF(doc, mark, no)  # of one document
+    keyed = own.withColumns({"text": text, doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), mark: F.xxhash64(text)})
+    joined = keyed.join(gone.hint("shuffle_hash"), [doc, mark], "left").select(*own.columns, no)
     at = own.columns.index("text")
     schema = T.StructType([*own.schema.fields, *([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())] if counts else [])])
 

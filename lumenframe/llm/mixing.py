@@ -11,20 +11,22 @@ range of the permutation key and over the ranges' totals, so that a hot source i
 The token offset in a source's stream gives the block; blocks have a bounded number of tokens, so ranking
 inside a block is bounded, too.
 
-Defined results: tokens are words; a null source counts as the source ''; a source without tokens has no
-weight and isn't in the mixture; documents without tokens are in each whole epoch; repeated rows are taken
-as often as they occur; an empty table gives no rows; other columns aren't looked at.
+Defined results: tokens are words, counted over whole texts of any length; a null source counts as the
+source ''; a source without tokens has no weight and isn't in the mixture, but ``apply`` without a budget
+returns its rows, equal ones once; documents without tokens are in each whole epoch; documents are ordered by a digest
+of id and epoch, ties by id, then by a hash of the text; repeated rows are taken as often as they occur; an
+empty table gives no rows; other columns aren't looked at, and ``apply`` returns them whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WORD, partitions, prepare
+from lumenframe.llm.common import WORD, partitions, prepare, unused
 
 ENTROPY = 0.97  # of the largest possible
 REPEATS = 4.0
@@ -58,13 +60,14 @@ def exponent(totals: DataFrame, entropy: float = ENTROPY, repeats: float = REPEA
     return max(flat, min(MILLION, few + 1 if found[few][1] > repeats else few))
 
 
-def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, mark: Column | None = None) -> DataFrame:
     """One row for each use of a document: doc_id, source, mark (hash of the text), epoch, n_tokens, block,
     slot. Read by block and slot, it is the mixed stream. Without ``budget`` (in tokens) the whole is as
-    small as it can be with each source used at least once, and so no document is left out."""
+    small as it can be with each source used at least once, and so no document is left out. ``mark`` tells
+    rows of one id apart, if not by text."""
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64(text).alias("mark"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens")).checkpoint()
+    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), (F.xxhash64(text) if mark is None else mark).alias("mark"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens")).checkpoint()
     sums = tokens.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("rows")).where("total > 0").checkpoint()
     everything, rows = (x or 1 for x in sums.agg(F.sum("total"), F.sum("rows")).first())
     digits = max(2, math.ceil(math.log(rows / RANGE_ROWS, 16)))  # of the key, that name a range
@@ -92,13 +95,16 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     return blocked.select("doc_id", "source", "mark", "epoch", "n_tokens", "block", (F.row_number().over(order) - 1).cast("long").alias("slot"))
 
 
-def apply(docs: DataFrame, **options) -> DataFrame:
+def apply(docs: DataFrame, budget: int | None = None, **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mixture uses it."""
-    uses = mix(docs, **options).groupBy(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__doc"), F.col("mark").alias("__mark"), F.col("source").alias("__source")).agg(F.count("*").alias("__uses"))
-    text, source = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
-    own = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__mark": F.xxhash64(text), "__source": source})
-    one = own.dropDuplicates(["__doc", "__mark", "__source"])
-    return one.join(uses, ["__doc", "__mark", "__source"]).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__uses")))).select(*docs.columns)
+    own_doc, own_mark, own_source, times, k = unused(docs.columns, "doc", "mark", "source_name", "uses", "k")
+    plain = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
+    mark = F.xxhash64(*plain)  # rows that are equal in all columns are one, used as often as they occur
+    uses = mix(docs, budget, mark=mark, **options).groupBy(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias(own_doc), F.col("mark").alias(own_mark), F.col("source").alias(own_source)).agg(F.count("*").alias(times))
+    own = docs.withColumns({own_doc: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), own_mark: mark, own_source: F.coalesce(F.col("source").cast("string"), F.lit(""))})
+    key = [own_doc, own_mark, own_source]
+    joined = own.dropDuplicates(key).join(uses, key, "left" if budget is None else "inner")
+    return joined.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce(times, F.lit(1).cast("long"))))).select(*docs.columns)
 
 
 #: The same result in SQL, for the default parameters.

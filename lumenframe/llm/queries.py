@@ -23,6 +23,11 @@ def op4_spotsigs(spark, sf_dir):
     return spotsigs.with_next(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_classes(spark, sf_dir):
+    """The sets that op4 fingerprints, compared within and between length ranges by pruned Jaccard."""
+    return spotsigs.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_golay_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,13 +59,14 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_forest, op2_additive_quality, op3_avi_clips, op4_spotsigs, op5_golay_simhash, op6_sparse_suffixes, op7_best_fit_packing,
+        op1_secret_forest, op2_additive_quality, op3_avi_clips, op4_spotsigs, spotsigs_classes, op5_golay_simhash, op6_sparse_suffixes, op7_best_fit_packing,
         op8_temperature_mixing, op9_line_chunks, op10_window_dedup, pipeline,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op4_spotsigs": spotsigs.ORACLE,
+    "spotsigs_classes": spotsigs.CLASSES,
     "op8_temperature_mixing": mixing.ORACLE,
     "op9_line_chunks": lines.ORACLE,
 }

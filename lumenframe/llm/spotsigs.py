@@ -12,7 +12,8 @@ Likeness is the Jaccard coefficient of two sets. ``near_duplicates`` compares se
 neighbouring ranges of set length, by their rarest signatures, and verifies the length bound, then the
 exact coefficient.
 
-Defined results: null text counts as empty (fingerprint of the empty word sequence); rows that repeat both
+Defined results: null text counts as empty (fingerprint of the empty word sequence); a text is fingerprinted
+whole, however long; signatures are sorted by digest, equal ones are one; rows that repeat both
 id and text count as one document in the order of documents and come back as often as they occur; rows
 that share an id only are ordered by a hash of the text; a null id is the smallest; with one document the
 next one is itself; an empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
@@ -50,7 +51,7 @@ def signatures(text: Column, anchors: tuple[str, ...] | list[str] = ANCHORS, cha
     """The sorted set of a text's signatures."""
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     plain = F.array_join(words, " ")
-    marked = F.array_join(F.transform(F.split(plain, " "), lambda w: F.when(w.isin(*sorted(set(anchors))), F.concat(F.lit(_MARK), w)).otherwise(w)), " ")
+    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*sorted(set(anchors))), F.concat(F.lit(_MARK), w)).otherwise(w)), " ")
     skip = rf"(?: {_MARK}[^ ]+)*+"
     follow = rf"{skip} ([^ {_MARK}][^ ]*)" + "".join(rf"(?:{skip} ([^ {_MARK}][^ ]*))?" for _ in range(chain - 1))
     beside = F.regexp_replace(marked, rf"{_MARK}([^ ]+)(?={follow})", F.lit(_OPEN + "$1" + "".join(f" ${k + 2}" for k in range(chain)) + _CLOSE))
@@ -90,25 +91,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranked = order_of_documents(text.select("doc", "mark", F.length("text").cast("long").alias("n_chars"))).checkpoint()
     before = ranked.select(((F.col("rank") + 1) % F.col("of")).alias("rank"), F.col("doc").alias("to_doc"), F.col("mark").alias("to_mark"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
     heirs = ranked.join(before, "rank").select("doc", "mark", "to_doc", "to_mark", "take")  # whose text goes to which document
-    # one exchange of the texts, used twice: both sides take the same columns
-    dealt = text.select("doc", "mark", "text").repartition("doc", "mark")
+    # one exchange of the texts and their sets (four bytes a signature), used twice: both sides take the same columns
+    dealt = text.select("doc", "mark", "text", F.unhex(F.array_join(signatures(F.col("text")), "")).alias("set")).repartition("doc", "mark")
     given = dealt.join(heirs.hint("shuffle_hash"), ["doc", "mark"])
     if (ranked.agg(F.max("rows")).first()[0] or 0) > 1:  # repeated rows give their text once
         given = given.dropDuplicates(["to_doc", "to_mark"])
-    # what goes on to the document before: as much of the text as it takes, and the set in four bytes a signature
-    heads = given.select(
-        F.col("to_doc").alias("doc"), F.col("to_mark").alias("mark"), F.substring("text", F.lit(1), F.col("take")).alias("head"),
-        F.unhex(F.array_join(signatures(F.col("text")), "")).alias("next_set"),
-    )
+    # what goes on to the document before: as much of the text as it takes, and the set
+    heads = given.select(F.col("to_doc").alias("doc"), F.col("to_mark").alias("mark"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("set").alias("next_set"))
     n = F.length("text")
+    hexed = lambda c: F.lower(F.hex(c))
+    unpacked = lambda c: F.regexp_extract_all(F.col(c), F.lit(".{8}"), F.lit(0))
     edited = (
         dealt.join(heads.hint("shuffle_hash"), ["doc", "mark"])
-        .select("doc", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "head").alias("edited"), signatures(F.col("text")).alias("sigs"), "next_set")
-        .select("*", signatures(F.col("edited")).alias("edited_sigs"), F.regexp_extract_all(F.lower(F.hex("next_set")), F.lit(".{8}"), F.lit(0)).alias("next_sigs"))
+        .select("doc", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "head").alias("edited"), hexed("set").alias("fingerprint"), hexed("next_set").alias("next_print"))
+        .select("*", signatures(F.col("edited")).alias("edited_sigs"), unpacked("fingerprint").alias("sigs"), unpacked("next_print").alias("next_sigs"))
     )
     return edited.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array_join("sigs", "").alias("fingerprint"), F.array_join("edited_sigs", "").alias("edited_fingerprint"),
+        "fingerprint", F.array_join("edited_sigs", "").alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
 
@@ -175,3 +175,15 @@ SELECT x.doc_id, x.n::BIGINT AS n_chars, sha256(x.edited) AS edited_sha256, arra
   len(list_intersect(s.sigs, u.sigs))::DOUBLE / (len(s.sigs) + len(u.sigs) - len(list_intersect(s.sigs, u.sigs))) AS near_next
 FROM x JOIN s USING (doc_id) JOIN t USING (doc_id) JOIN s AS u ON u.doc_id = x.next_id
 """
+
+#: The classes of ``near_duplicates`` from all pairs.
+CLASSES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), s AS MATERIALIZED ({_sql_sets("d", "doc_id", "text")}
+), p AS MATERIALIZED (
+  SELECT a.doc_id AS src, b.doc_id AS dst FROM s a JOIN s b ON a.doc_id <> b.doc_id AND least(len(a.sigs), len(b.sigs)) >= {ALIKE} * greatest(len(a.sigs), len(b.sigs)) - 1e-9
+  WHERE len(list_intersect(a.sigs, b.sigs))::DOUBLE / (len(a.sigs) + len(b.sigs) - len(list_intersect(a.sigs, b.sigs))) >= {ALIKE} - 1e-12
+), c AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT p.dst, c.root FROM c JOIN p ON p.src = c.node WHERE c.root < p.dst
+)
+SELECT node AS doc_id, min(root) AS class_id FROM c GROUP BY node
+"""

@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string, source string, hash string"
 FOLDER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["op8_temperature_mixing", "op9_line_chunks", "op4_spotsigs"])
+@pytest.mark.parametrize("name", ["op8_temperature_mixing", "op9_line_chunks", "op4_spotsigs", "spotsigs_classes"])
 def test_queries_equal_their_sql(spark, name):
     same(queries.QUERIES[name](spark, FOLDER).collect(), queries.ORACLES[name], FOLDER)
 
@@ -84,7 +84,8 @@ def test_mixture_meets_its_weights(spark):
         slots[r["block"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     applied = mixing.apply(docs, block_tokens=500)
-    assert applied.columns == docs.columns and applied.count() == len(got)
+    without = {(i, t) for i, t, x, _ in rows if x == "empty"}  # a source without tokens: its rows come back once
+    assert applied.columns == docs.columns and applied.count() == len(got) + len(without)
     assert mixing.mix(docs.limit(0)).collect() == []
     small = mixing.mix(docs, budget=100).collect()
     assert 60 <= sum(r["n_tokens"] for r in small) <= 250
@@ -106,3 +107,23 @@ def test_exponent_meets_entropy_and_limit(spark):
     y = mixing.exponent(frame, entropy=0.9, repeats=2.0)
     assert y > x and most(y) <= 2.0 < most(y - 1)
     assert mixing.exponent(frame.limit(1)) == 1_000_000
+
+
+def test_clashing_names_and_equal_keys(spark):
+    """Columns named like the operators' own come back; rows that differ in another column only are all used."""
+    body = "\n".join(f"line {k} of a text" for k in range(30))
+    rows = [(1, body, "s", "a", 1), (2, body, "s", "b", 2), (2, body, "s", "c", 3), (3, "alone", "t", None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, doc string, mark int").withColumnsRenamed({"doc": "__doc"})
+    cut = lines.remove_repeats(docs)
+    assert cut.columns == docs.columns and sorted((r["doc_id"], r["__doc"] or "", r["mark"]) for r in cut.collect()) == [(1, "a", 1), (2, "b", 2), (2, "c", 3), (3, "", 4)]
+    mixed = mixing.apply(docs)
+    assert mixed.columns == docs.columns and {(r["doc_id"], r["__doc"], r["mark"]) for r in mixed.collect()} == {(1, "a", 1), (2, "b", 2), (2, "c", 3), (3, None, 4)}
+
+
+def test_chunks_of_one_hash_are_compared(spark):
+    """With hashes of two bits many chunks share one; only those with equal bytes go."""
+    rng = random.Random(4)
+    rows = [(i, i, "\n".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 12)))) for i in range(60)]
+    plain = spark.createDataFrame(rows, "doc long, mark long, text string")
+    want = sorted(map(tuple, lines.repeated(plain).collect()))
+    assert want and sorted(map(tuple, lines.repeated(plain, bits=2).collect())) == want
