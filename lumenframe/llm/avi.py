@@ -8,8 +8,9 @@ all frames of like shape side by side, one sample of every frame a step.
 Shots: a frame begins a shot if the histogram difference to the frame before it exceeds the mean of the
 differences around it by ``SPREAD`` standard deviations, and a floor, and no neighbour's is larger.
 
-Defined results: null and empty texts are a payload of 192 spaces, one frame, one shot; repeated rows give
-equal rows; an empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored; a file
+Defined results: null and empty texts are a payload of 192 spaces, one frame, one shot; a text of any length is
+one file, coded and decoded ``CHUNK`` bytes at a time; of equal differences beside each other the first begins the
+shot; repeated rows give equal rows; an empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored; a file
 without a frame gives no clip, a damaged one raises ValueError.
 """
 
@@ -256,21 +257,25 @@ def shot_starts(frames: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     """For frames of many files laid end to end (file k: first[k] to first[k+1]): whether each frame
     begins a shot, and each frame's histogram over HIST bins of all samples."""
     n = len(frames)
-    flat = (frames.reshape(n, -1) >> 4).astype(np.int64)
-    hist = np.bincount((flat + HIST * np.arange(n)[:, None]).ravel(), minlength=HIST * n).reshape(n, HIST)
+    parts = []
+    for a in range(0, n, CHUNK // UNIT):
+        some = (frames[a : a + CHUNK // UNIT].reshape(min(n - a, CHUNK // UNIT), -1) >> 4).astype(np.int64)
+        parts.append(np.bincount((some + HIST * np.arange(len(some))[:, None]).ravel(), minlength=HIST * len(some)).reshape(-1, HIST))
+    hist = np.concatenate(parts)
+    samples = frames[0].size
     begins = np.zeros(n, bool)
     begins[first[:-1][first[:-1] < first[1:]]] = True
     change = np.zeros(n)
-    change[1:] = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * flat.shape[1])
+    change[1:] = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * samples)
     change[begins] = 0
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     lo = np.maximum(np.arange(n) - AROUND, first[:-1][owner] + 1)
     hi = np.minimum(np.arange(n) + AROUND + 1, first[1:][owner])
     count = np.maximum(hi - lo, 1)
     # sums of whole numbers, so that a file's shots don't hang on the files beside it
-    whole = np.rint(change * 2 * flat.shape[1]).astype(np.int64)
+    whole = np.rint(change * 2 * samples).astype(np.int64)
     one, two = (np.concatenate([[0], np.cumsum(x)]) for x in (whole, whole * whole))
-    scale = 2 * flat.shape[1]
+    scale = 2 * samples
     mean = (one[hi] - one[np.minimum(lo, hi)]) / count / scale
     square = (two[hi] - two[np.minimum(lo, hi)]) / count / scale**2
     limit = np.maximum(mean + SPREAD * np.sqrt(np.maximum(square - mean * mean, 0)), FLOOR)
@@ -289,7 +294,8 @@ def store(texts: list[str | None]) -> list[tuple[int, bytes]]:
     """(unpadded bytes, AVI file) of each text."""
     made = [payload_of(t) for t in texts]
     samples = np.frombuffer(b"".join(p for _, p in made), np.uint8).reshape(-1, SIDE, SIDE, PARTS)
-    frames, out, at = encode_frames(samples), [], 0
+    frames = [f for a in range(0, len(samples), CHUNK // UNIT) for f in encode_frames(samples[a : a + CHUNK // UNIT])]
+    out, at = [], 0
     for n, p in made:
         out.append((n, write_avi(frames[at : at + len(p) // UNIT])))
         at += len(p) // UNIT
@@ -299,7 +305,8 @@ def store(texts: list[str | None]) -> list[tuple[int, bytes]]:
 def load(files: list[bytes]) -> list[dict]:
     """For each AVI file: payload, frame_ms, clips as (first frame, end frame), hist (sum over frames)."""
     places = [read_index(f) for f in files]
-    frames = decode_frames([f[a : a + n] for f, (_, own) in zip(files, places, strict=True) for a, n in own])
+    raw = [f[a : a + n] for f, (_, own) in zip(files, places, strict=True) for a, n in own]
+    frames = [x for a in range(0, len(raw), CHUNK // UNIT) for x in decode_frames(raw[a : a + CHUNK // UNIT])]
     out, at = [], 0
     first = np.concatenate([[0], np.cumsum([len(own) for _, own in places])])
     like = len({x.shape for x in frames}) <= 1

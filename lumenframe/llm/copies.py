@@ -1,25 +1,30 @@
-"""Near copies by the Jaccard coefficient of word shingles, with no pair left out.
+"""Near copies by the Jaccard coefficient of word shingles: SimHash finds the near ones, prefixes the rest.
 
-SimHash is not used here: texts at a coefficient of 0.8 differ in some 10 of 64 bits, beyond what Golay keys
-find (``simhash.MAX_BITS``). Instead:
+Texts at a coefficient of 0.8 differ in some 10 of 64 fingerprint bits, beyond what Golay keys find
+(``simhash.MAX_BITS``), so SimHash alone would leave such copies in. Links are therefore found in two steps:
 
 1. A text's shingles are the distinct runs of ``SHINGLE`` words (ASCII letters lower-cased). Equal sets are
-   one node.
-2. Shingles have one order for all texts: common ones last, else by hash. Two sets of n and m shingles that
-   are alike share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 in that order, whatever the
-   order is; these are a node's keys. Which shingles are common is seen in a sample of the texts; a poor
-   sample costs time but changes no result.
-3. Keys are packed by bucket, those of one node only go, and nodes with a common key are candidates.
-4. Of each set it is known how many of its shingles are in each of ``PARTS`` parts of the hashes. The smaller
-   counts add up to the most that two sets can have in common; candidates for which this is too few go
-   before any set is moved.
-5. The others are verified by the exact coefficient of their sets, and linked (``graph.link_by_keys``).
-
-Shingles are compared by 64-bit hashes.
+   one node. A node's fingerprint has the majority bits of its shingles' hashes, repeats included.
+2. Fingerprints share Golay keys (``simhash.bucket_keys``). Each node is paired with the node that it shares most
+   keys with among the smallest and largest of its keys, if they are within ``simhash.MAX_BITS``.
+3. What is left: shingles have one order for all texts, common ones last, else by hash. Two sets of n and m
+   shingles that are alike share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 in that order,
+   whatever the order is. By these keys each node is again paired with one other, if they aren't yet in one
+   component; then nodes of different components that share a key all meet, so no pair is left out. Common are
+   shingles that more than ``CROWD`` texts have among their first ones by hash alone, as counted over all texts
+   and kept in a bitmap; a shingle that shares a bit with a common one counts as such, which changes no result.
+4. Every pair is verified before it is a link. Of each set it is known how many of its shingles are in each of
+   some n / 4 parts of the hashes. The smaller counts add up to the most that two sets can have in common;
+   pairs for which this is too few go before any set is moved. For the others the sets themselves are compared.
+
+Sets are made again only for texts that a pair names; a bitmap of a fixed size says which those may be. Equal
+sets and keys are told by 64-bit hashes, shingles of a pair by 32 bits: of n, some n * n / 4e9 match by accident.
 
 Defined results: null text counts as empty; texts without words are copies of each other; a text with fewer
-than ``SHINGLE`` words has its word sequence as its one shingle; a null ``doc_id`` takes part but names no
-component; an empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
+than ``SHINGLE`` words has its word sequence as its one shingle; texts are taken whole, however long; a null
+``doc_id`` counts as the largest and names no component; rows that repeat both id and text are one document;
+rows that share an id only are ordered by a hash of the text; an empty table gives no rows; columns other than
+``doc_id`` and ``text`` come back from ``keep_one`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,23 +35,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import documents, per_batch, prepare
-from lumenframe.llm.graph import link_by_keys
+from lumenframe.llm import simhash
+from lumenframe.llm.common import bitmap, documents, hot_join, is_set, per_batch, prepare, unused
+from lumenframe.llm.graph import best_stars, components, key_ends, link_by_keys
+from lumenframe.llm.windows import _planes, _unplanes
 from lumenframe.llm.words import chunks, mix, rolling
 
 SHINGLE = 5
 #: The least Jaccard coefficient of near copies, as a fraction.
 ALIKE = (4, 5)
-#: Texts looked at for common shingles, how many of them make a shingle common, and how many are passed on.
-SAMPLE, COMMON, MOST = 20_000, 3, 200_000
-FLUSH, BUCKET = 1_000_000, 2_000_000
-#: Counts are bytes; one that is FULL bounds nothing.
-PARTS, FULL = 256, 255
+#: Texts that make a shingle common, bits of the bitmap of common ones (16 MB).
+CROWD, COMMON_BITS = 16, 1 << 27
+FLUSH, BUCKET = 500_000, 1_000_000
+#: Parts of the hashes, at least and at most, a power of two. Counts are bytes; one that is FULL bounds nothing.
+LEAST_PARTS, MOST_PARTS, FULL = 64, 8192, 255
+LAST = (1 << 63) - 1
 
 
-def shingles(column: pa.Array, k: int = SHINGLE):
-    """(first row, owner, hash, bounds) for runs of rows: each text's distinct shingles by hash, text i's from
-    bounds[i] to bounds[i + 1]. Each text has at least one."""
+def shingles(column: pa.Array, k: int = SHINGLE, prints: bool = False):
+    """(first row, owner, hash, bounds, fingerprints) for runs of rows: each text's distinct shingles by hash, text
+    i's from bounds[i] to bounds[i + 1]. Each text has at least one."""
     for row, words in chunks(pc.ascii_lower(column)):
         size = np.diff(words.first)
         texts = len(size)
@@ -58,10 +66,11 @@ def shingles(column: pa.Array, k: int = SHINGLE):
         owner, h = np.concatenate([owner[inside], few]), np.concatenate([h[inside], short])
         order = np.lexsort((h, owner))
         owner, h = owner[order], h[order]
+        fps = simhash.majority(h, np.searchsorted(owner, np.arange(texts + 1))) if prints else None
         fresh = np.ones(len(h), bool)
         fresh[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
         owner, h = owner[fresh], h[fresh]
-        yield row, owner, h, np.searchsorted(owner, np.arange(texts + 1))
+        yield row, owner, h, np.searchsorted(owner, np.arange(texts + 1)), fps
 
 
 def node_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -69,66 +78,108 @@ def node_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(h), bounds[:-1]) ^ np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def first_keys(owner: np.ndarray, h: np.ndarray, bounds: np.ndarray, common: np.ndarray, times: np.ndarray, alike=ALIKE) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of the shingles one of which two sets that are alike share."""
-    seen = np.zeros(len(h), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        seen = np.where(common[at] == h, times[at], 0)
-    order = np.lexsort((h, seen, owner))
+def first_keys(owner: np.ndarray, h: np.ndarray, bounds: np.ndarray, common: np.ndarray | None, alike=ALIKE) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of the shingles one of which two sets that are alike share: the first by hash, those whose bit in
+    ``common`` is set last."""
+    order = np.arange(len(h)) if common is None else np.lexsort((h, is_set(common, h.view(np.int64)), owner))
     n = np.diff(bounds)
     rank = np.arange(len(h)) - bounds[owner]
     taken = rank < (n - -(-n * alike[0] // alike[1]) + 1)[owner]
     return owner[taken], h[order][taken]
 
 
-def part_counts(owner: np.ndarray, h: np.ndarray, texts: int) -> pa.Array:
-    at = owner * PARTS + (mix(h) >> np.uint64(56)).astype(np.int64)
-    counts = np.minimum(np.bincount(at, minlength=texts * PARTS), FULL).astype(np.uint8)
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARTS), texts, [None, pa.py_buffer(counts)]).cast(pa.binary())
+def part_counts(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set its shingles in each part of the hashes, by their upper bits."""
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        bits = min(max(b - a - 1, 0).bit_length() - 2, MOST_PARTS.bit_length() - 1)
+        bits = max(bits, LEAST_PARTS.bit_length() - 1)
+        counts = np.bincount((h[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        out.append(np.minimum(counts, FULL).astype(np.uint8).tobytes())
+    return out
+
+
+def most_common(a: bytes, b: bytes) -> int:
+    """The most shingles that two sets can share; if a count is full, all."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    if (x == FULL).any() or (y == FULL).any():
+        return 1 << 62
+    n = min(len(x), len(y))  # the finer one's parts are those of the coarser, cut further
+    return int(np.minimum(x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)).sum())
 
 
 def _may_be_alike(batch: pa.RecordBatch):
-    """Over (src, dst, n_a, n_b, counts_a, counts_b): the pairs whose counts allow ALIKE."""
-    a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS) for c in (4, 5))
-    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-    both = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-    may = (most * sum(ALIKE) >= both * ALIKE[0]) | (a == FULL).any(axis=1) | (b == FULL).any(axis=1)
-    yield batch.select([0, 1]).filter(pa.array(may))
+    """Over (src, dst, n_a, n_b, counts_a, counts_b, mark_a, mark_b): the pairs whose counts allow ALIKE."""
+    n_a, n_b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+    most = [most_common(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+    may = [m * sum(ALIKE) >= int(n) * ALIKE[0] for m, n in zip(most, n_a + n_b, strict=True)]
+    yield batch.select([0, 1, 2, 3, 6, 7]).filter(pa.array(may, pa.bool_()))
 
 
-def common_shingles(text: DataFrame, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, how often) of the shingles that several texts of a sample have."""
+def _are_alike(batch: pa.RecordBatch):
+    """Over (src, dst, n_a, n_b, set_a, set_b): the pairs whose sets reach ALIKE."""
+    p, q = ALIKE
+    keep = []
+    for n_a, n_b, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+        common = len(np.intersect1d(_unplanes(a, "<u4"), _unplanes(b, "<u4"), assume_unique=False))
+        keep.append(common * q >= (n_a + n_b - common) * p)
+    yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def make():
-        def step(batch: pa.RecordBatch):
-            for _, _, h, _ in shingles(batch.column(0), k):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-        return step
+def _counted(k: int, buckets: int):
+    """Over texts: packed (key, texts) of first shingles by hash, combined within a flush."""
+
+    def flush(parts):
+        keys, n = np.unique(np.concatenate(parts), return_counts=True)
+        bucket = (mix(keys) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        keys, n, bucket = keys[order], np.minimum(n[order], 255).astype(np.uint8), bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(cuts[1:], len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "keys", "n"])
+
+    def task(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for _, owner, h, bounds, _ in shingles(batch.column(0), k):
+                parts.append(first_keys(owner, h, bounds, None)[1])
+                size += len(parts[-1])
+                if size >= FLUSH:
+                    yield from flush(parts)
+                    parts, size = [], 0
+        if size:
+            yield from flush(parts)
+
+    return task
 
-    every = max(1, rows // SAMPLE)
-    some = text.where(F.pmod("mark", F.lit(every)) == 0).select("text").mapInArrow(per_batch(make), "h long")
-    found = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST).collect()  # at most MOST rows
-    found = sorted((r["h"] % (1 << 64), r["n"]) for r in found)
-    return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+def _crowded(table: pa.Table) -> pa.Table:
+    """Of one bucket: the keys of more than CROWD texts."""
+    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
+    n = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint8).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n, first) if len(keys) else n
+    return pa.table({"key": keys[first][total > CROWD].view(np.int64)})
 
 
 def _named(k: int):
     def make():
         def step(batch: pa.RecordBatch):
-            for row, owner, h, bounds in shingles(batch.column(2), k):
+            for row, owner, h, bounds, fps in shingles(batch.column(2), k, prints=True):
                 own = batch.slice(row, len(bounds) - 1)
                 size = np.diff(bounds).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(node_of(h, bounds)), pa.array(size), part_counts(owner, h, len(size))], names=["doc_id", "mark", "node", "n", "counts"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(node_of(h, bounds)), pa.array(size), pa.array(part_counts(h, bounds), pa.binary()), pa.array(fps)], names=["doc_id", "mark", "node", "n", "counts", "fp"])
 
         return step
 
     return make
 
 
-def _key_rows(k: int, buckets: int, common: np.ndarray, times: np.ndarray):
+def _key_rows(k: int, buckets: int, common: bytes):
     """Packed (key, node) rows: bucket, keys and nodes as bytes."""
+    marked = np.frombuffer(common, np.uint8)
 
     def flush(parts):
         rows = np.unique(np.concatenate(parts), axis=0) if len(parts) > 1 else parts[0]
@@ -142,9 +193,9 @@ def _key_rows(k: int, buckets: int, common: np.ndarray, times: np.ndarray):
     def task(batches):
         parts, size = [], 0
         for batch in batches:
-            for _, owner, h, bounds in shingles(batch.column(0), k):
+            for _, owner, h, bounds, _ in shingles(batch.column(0), k):
                 node = node_of(h, bounds).view(np.uint64)
-                at, keys = first_keys(owner, h, bounds, common, times)
+                at, keys = first_keys(owner, h, bounds, marked)
                 parts.append(np.stack([keys, node[at]], axis=1))
                 size += len(keys)
                 if size >= FLUSH:
@@ -169,12 +220,24 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"node": rows[several, 1].view(np.int64), "key": rows[several, 0].view(np.int64)})
 
 
-def _sets(k: int):
+def _sets(k: int, marks: bytes):
+    """Over (mark, text): node and hashes of the texts whose mark may be asked for, each once a task."""
+
     def make():
+        bits, seen = np.frombuffer(marks, np.uint8), set()
+
         def step(batch: pa.RecordBatch):
-            for _, _, h, bounds in shingles(batch.column(0), k):
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node_of(h, bounds)), lists], names=["node", "hashes"])
+            own = batch.column(0).to_numpy()
+            fresh = is_set(bits, own)
+            for i in np.flatnonzero(fresh).tolist():
+                fresh[i] = own[i] not in seen
+                seen.add(own[i])
+            if not fresh.any():
+                return
+            for _, _, h, bounds, _ in shingles(batch.column(1).filter(pa.array(fresh)), k):
+                short = (h >> np.uint64(32)).astype("<u4")  # still in order, so that planes pack well
+                sets = [_planes(short[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node_of(h, bounds)), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
         return step
 
@@ -183,42 +246,78 @@ def _sets(k: int):
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, component_id (smallest doc_id reached by links of a coefficient of ALIKE or more) for each row."""
+    return classes(docs, shingle).select("doc_id", F.when(F.col("first.doc") != LAST, F.col("first.doc")).alias("component_id"))
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, mark (hash of the text), first (doc, mark): the smallest document of its component, a null id last."""
     prepare(docs.sparkSession)
     text = documents(docs).withColumn("mark", F.xxhash64("text"))
-    known = text.select("doc_id", "mark", "text").mapInArrow(per_batch(_named(shingle)), "doc_id long, mark long, node long, n int, counts binary").checkpoint()
-    own = known.select("doc_id", "node")
-    size, rows = text.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
-    buckets = max(1, -(-size // (25 * BUCKET)))  # a key to five words
-    packed = text.select("text").mapInArrow(_key_rows(shingle, buckets, *common_shingles(text, rows, shingle)), "bucket int, rows binary")
-    keys = packed.groupBy("bucket").applyInArrow(_shared, "node long, key long").checkpoint()
-    nodes = known.join(keys.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("counts").alias("counts")).checkpoint()
+    known = text.select("doc_id", "mark", "text").mapInArrow(per_batch(_named(shingle)), "doc_id long, mark long, node long, n int, counts binary, fp long").checkpoint()
+    own = known.select("doc_id", "mark", "node")
+    size = text.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    nodes = known.groupBy("node").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.min("fp").alias("fp"), F.count("*").alias("rows"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("mark"))).alias("low")).checkpoint()
     p, q = ALIKE
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}")) for e, x in (("src", "a"), ("dst", "b")))
-        sized = pairs.join(a, "src").join(b, "dst").where(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
-        left = sized.select("src", "dst", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(per_batch(lambda: _may_be_alike), "src long, dst long").checkpoint()
-        ends = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        asked = nodes.select("node", "mark").join(ends, "node", "left_semi").select("mark")
-        sets = text.select("mark", "text").join(asked, "mark", "left_semi").dropDuplicates(["mark"]).select("text")
-        sets = sets.mapInArrow(per_batch(_sets(shingle)), "node long, hashes array<long>").checkpoint()
-        a, b = (sets.select(F.col("node").alias(e), F.col("hashes").alias(x)) for e, x in (("src", "a"), ("dst", "b")))
-        common = F.size(F.array_intersect("a", "b"))
-        return left.join(a, "src").join(b, "dst").where(common * q >= (F.size("a") + F.size("b") - common) * p).select("src", "dst")
-
-    roots = link_by_keys(keys, verify).withColumnRenamed("component", "root")
-    lows = own.groupBy("node").agg(F.min("doc_id").alias("low"))
-    named = lows.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")).checkpoint()
-    ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return own.join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+        a, b = (nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}"), F.col("mark").alias(f"mark_{x}")) for e, x in (("src", "a"), ("dst", "b")))
+        sized = pairs.join(a.drop("counts_a", "mark_a"), "src").join(b.drop("counts_b", "mark_b"), "dst").where(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p).select("src", "dst")
+        counted = sized.join(a, "src").join(b, "dst").select("src", "dst", "n_a", "n_b", "counts_a", "counts_b", "mark_a", "mark_b")
+        left = counted.mapInArrow(per_batch(lambda: _may_be_alike), "src long, dst long, n_a int, n_b int, mark_a long, mark_b long").checkpoint()
+        marks = bitmap(left.select(F.explode(F.array("mark_a", "mark_b")).alias("mark")))
+        sets = text.select("mark", "text").mapInArrow(per_batch(_sets(shingle, marks)), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        a, b = (sets.select(F.col("node").alias(e), F.col("shingles").alias(f"set_{x}")) for e, x in (("src", "a"), ("dst", "b")))  # one exchange, used twice
+        both = left.select("src", "dst", "n_a", "n_b").join(a, "src").join(b, "dst").select("src", "dst", "n_a", "n_b", "set_a", "set_b")
+        return both.mapInArrow(per_batch(lambda: _are_alike), "src long, dst long").checkpoint()
+
+    # near fingerprints: keys are small numbers, those that occur once are told by a bitmap and not moved again
+    by_print = nodes.groupBy("fp").agg(F.min("node").alias("node")).checkpoint()
+    prints = by_print.select("fp")
+    ends = key_ends(simhash.bucket_keys(prints).withColumnRenamed("fp", "node")).checkpoint()
+    shared = simhash.bucket_keys(prints, bitmap(ends.select("key"), simhash.KEYS)).withColumnRenamed("fp", "node")
+    near = best_stars(shared, ends, near=simhash.near)
+    named = by_print.select("fp", F.col("node").alias("of"))
+    met = near.join(named.toDF("src", "a"), "src").join(named.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    same = nodes.join(named, "fp").where("node <> of").select(F.col("node").alias("src"), F.col("of").alias("dst"))
+    links = verify(met.union(same).distinct())
+    # the rest, by first shingles
+    buckets = max(1, -(-size // (25 * BUCKET)))  # a key to five words
+    crowded = text.select("text").mapInArrow(_counted(shingle, buckets), "bucket int, keys binary, n binary").groupBy("bucket").applyInArrow(_crowded, "key long")
+    packed = text.select("text").mapInArrow(_key_rows(shingle, buckets, bitmap(crowded, COMMON_BITS)), "bucket int, rows binary")
+    keys = packed.groupBy("bucket").applyInArrow(_shared, "node long, key long").checkpoint()
+    first = components(links).withColumnRenamed("component", "known")
+    owned = keys.join(first, "node", "left").select("key", "node", F.coalesce("known", "node").alias("own"))
+    links = links.union(verify(best_stars(owned, key_ends(keys)))).checkpoint()
+    roots = link_by_keys(keys, verify, stars=links).withColumnRenamed("component", "root")
+    placed = nodes.select("node", "low", "rows").join(roots, "node", "left").select("node", "low", "rows", F.coalesce("root", "node").alias("root")).checkpoint()
+    firsts = placed.groupBy("root").agg(F.min("low").alias("first"), F.count("*").alias("n"))
+    named = hot_join(placed, firsts, "root", placed.count()).select("node", "first", F.col("rows").alias("n")).checkpoint()
+    return hot_join(own, named, "node", own.count()).select("doc_id", "mark", "first")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of its component.
-
-    Rows that repeat a kept ``doc_id`` go too, one is kept; rows with a null ``doc_id`` are all kept, as
-    nothing tells them apart.
-    """
-    keep = near_copies(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    nameless = docs.where("doc_id is null")
-    return docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
+    """The first document of each component, all columns. Most rows stay where they are: only those whose bit in a
+    bitmap of what goes, or occurs again, is set are dealt out and looked up."""
+    found = classes(docs, shingle).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "mark", "first")
+    doc, mark, key = unused(docs.columns, "doc", "mark", "key")
+    one = found.groupBy("doc", "mark").agg(F.count("*").alias("n"), F.min("first").alias("first")).where("n > 1 or first.doc <> doc or first.mark <> mark")
+    gone = one.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.expr("first.doc = doc and first.mark = mark").alias(key)).checkpoint()
+    bits = bitmap(gone.select(F.xxhash64(doc, mark).alias(key)))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), mark: F.xxhash64(text)}).withColumn(key, F.xxhash64(doc, mark))
+    width = len(docs.columns)
+
+    def part(asked: bool):
+        def make():
+            own = np.frombuffer(bits, np.uint8)
+
+            def step(batch: pa.RecordBatch):
+                yield batch.filter(pa.array(is_set(own, batch.column(width + 2).to_numpy()) == asked))
+
+            return step
+
+        return marked.mapInArrow(per_batch(make), marked.schema)
+
+    clear = part(False).select(*docs.columns)
+    looked = part(True).drop(key).join(gone, [doc, mark], "left").where(F.coalesce(key, F.lit(True))).dropDuplicates([doc, mark])
+    return clear.union(looked.select(*docs.columns))

@@ -56,26 +56,53 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return work.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def link_by_keys(keys: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+def key_ends(keys: DataFrame) -> DataFrame:
+    """key, low, high (its smallest and largest node), n of the keys that several nodes have."""
+    return keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
+
+
+def key_stars(keys: DataFrame, near: Callable[[str, str], Column] | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """Distinct (src, dst): each node with the smallest and the largest node of its keys, where ``near`` holds."""
+    near = near or (lambda a, b: F.lit(True))
+    if ends is None:
+        keys = keys.checkpoint()
+        ends = key_ends(keys)
+    wanted = ((F.col("node") != F.col("low")) & near("node", "low")) | ((F.col("node") != F.col("high")) & near("node", "high"))
+    met = keys.withColumnRenamed("key", "own_key").join(ends, (F.col("own_key") == F.col("key")) & wanted)
+    stars = met.select(F.col("node").alias("src"), F.explode(F.array("low", "high")).alias("dst")).where((F.col("src") != F.col("dst")) & near("src", "dst"))
+    return stars.distinct()
+
+
+def best_stars(keys: DataFrame, ends: DataFrame, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """(src, dst): for each node the one of its keys' smallest and largest nodes that it has most keys with, where
+    ``near`` holds; one row a node at most. ``keys`` may have ``own``, a component: ends in the same one don't count."""
+    near = near or (lambda a, b: F.lit(True))
+    met = keys.join(ends.select("key", "low", "high"), "key").select(*keys.columns, F.explode(F.array_distinct(F.array("low", "high"))).alias("dst")).where((F.col("node") != F.col("dst")) & near("node", "dst"))
+    if "own" in keys.columns:
+        of = keys.select(F.col("node").alias("dst"), F.col("own").alias("dst_own")).join(ends.select(F.explode(F.array("low", "high")).alias("dst")).distinct(), "dst", "left_semi").distinct()
+        met = met.join(of, "dst").where("own <> dst_own")
+    n = met.groupBy(F.col("node").alias("src"), "dst").agg(F.count("*").alias("n"))
+    return n.groupBy("src").agg(F.max(F.struct("n", "dst")).alias("top")).select("src", F.col("top.dst").alias("dst"))
+
+
+def link_by_keys(keys: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[str, str], Column] | None = None, stars: DataFrame | None = None) -> DataFrame:
     """(node, key) rows -> (node, component) over links between nodes with a common key.
 
     ``near`` gives a condition on two node columns that joins apply to candidates; ``verify`` takes the
-    candidate pairs (src, dst) left and returns those that are links. Each node first meets the smallest and
-    the largest node of its keys, which is linear in the rows and settles keys of up to three nodes. Once
-    components of those links are known, only nodes outside a larger key's most frequent component meet the
-    nodes of that key, so that a large group of near copies does not give all its pairs; no link between
-    components is left out.
+    candidate pairs (src, dst) left and returns those that are links. ``stars`` are links that are known; without
+    them each node first meets the smallest and the largest node of its keys, which is linear in the rows and
+    settles keys of up to three nodes. Once components of those links are known, only nodes outside a larger key's
+    most frequent component meet the nodes of that key, so that a large group of near copies does not give all its
+    pairs; no link between components is left out.
     """
     near = near or (lambda a, b: F.lit(True))
     verify = verify or (lambda pairs: pairs)
     keys = keys.checkpoint()
-    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").checkpoint()
-    wanted = ((F.col("node") != F.col("low")) & near("node", "low")) | ((F.col("node") != F.col("high")) & near("node", "high"))
-    met = keys.withColumnRenamed("key", "own_key").join(ends, (F.col("own_key") == F.col("key")) & wanted)
-    stars = met.select(F.col("node").alias("src"), F.explode(F.array("low", "high")).alias("dst")).where((F.col("src") != F.col("dst")) & near("src", "dst"))
-    stars = verify(stars.distinct()).checkpoint()
+    ends = key_ends(keys).checkpoint()
+    least = 1 if stars is not None else 3
+    stars = stars if stars is not None else verify(key_stars(keys, near, ends)).checkpoint()
     first = components(stars).withColumnRenamed("component", "known")
-    large = keys.join(ends.where("n > 3").select("key"), "key")
+    large = keys.join(ends.where(F.col("n") > least).select("key"), "key")
     placed = large.join(first, "node", "left").select("key", "node", F.coalesce("known", "node").alias("own"))
     sizes = placed.groupBy("key", "own").agg(F.count("*").alias("n"))
     major = sizes.groupBy("key").agg(F.max(F.struct("n", "own")).alias("top"), F.count("*").alias("owns")).where("owns > 1").select("key", F.col("top.own").alias("major"))

@@ -5,7 +5,9 @@ made on counts: bins that look alike are one entry with a range of sequence numb
 the planned slots by joining on (length, rank within length).
 
 Defined results: null text counts as empty; an empty text is the end token alone; an empty table gives
-no rows; repeated rows are packed as often as they occur; columns other than ``doc_id`` and ``text``
+no rows; a text of any length is encoded whole and only its pieces are cut; of bins with equal room the one that
+was opened first is filled, pieces of one length take slots in order of a hash, then id and piece; repeated rows
+are packed as often as they occur; columns other than ``doc_id`` and ``text``
 are ignored; a null ``doc_id`` is kept as null.
 """
 

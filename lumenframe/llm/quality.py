@@ -9,7 +9,9 @@ Labels are learnt from a sample of at most ``SAMPLE`` labelled rows, the ones wi
 their id; only their feature values (some ``len(FEATURES)`` numbers a row) reach the driver. Scoring is a
 map over all rows.
 
-Defined results: null and empty texts have all features zero and get the score the model gives to those;
+Defined results: null and empty texts have all features zero and get the score the model gives to those; a
+text is counted whole, however long; a score of exactly one half is label 1, labels are sampled by a hash of the
+id, then the id, and equal gains go to the first feature and cut;
 repeated rows are scored alike; a label row that is null, repeated or without a document doesn't count;
 without labels of both kinds the score is the share of label 1 (1 if there are no labels); an empty table
 gives no rows; columns other than ``doc_id`` and ``text`` aren't inputs.

@@ -11,9 +11,10 @@ Keys are joined on distinct fingerprints only, so that copies of a text cost one
 ``graph.link_by_keys`` for how large groups of near copies are kept from giving all their pairs.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and links like any
-other; a text with fewer than four words has its word sequence as its one shingle; repeated rows stay
-repeated; an empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored; rows with
-a null ``doc_id`` take part and take the smallest non-null ``doc_id`` of their component (null if none).
+other; a text with fewer than four words has its word sequence as its one shingle; a text of any length is
+taken whole; a bit set in exactly half of the shingles is 0; repeated rows stay repeated; an empty table gives
+no rows; columns other than ``doc_id`` and ``text`` are ignored; rows with a null ``doc_id`` take part and take
+the smallest non-null ``doc_id`` of their component (null if none).
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WORD, documents, per_batch, prepare
+from lumenframe.llm.common import WORD, documents, hot_join, is_set, per_batch, prepare
 from lumenframe.llm.graph import link_by_keys
 
 SHINGLE = 4
@@ -107,15 +108,24 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return documents(docs).mapInArrow(per_batch(make), "doc_id long, fp long")
 
 
-def bucket_keys(fps: DataFrame) -> DataFrame:
-    """fp -> its rows (fp, key)."""
+#: Keys are smaller than this.
+KEYS = 3 << 24
+
+
+def bucket_keys(fps: DataFrame, bits: bytes | None = None) -> DataFrame:
+    """fp -> its rows (fp, key); with ``bits`` only keys whose bit is set."""
 
     def make():
+        wanted = None if bits is None else np.frombuffer(bits, np.uint8)
+
         def step(batch: pa.RecordBatch):
             own = batch.column(0).to_numpy()
             for at in range(0, len(own), 1 << 14):
                 part = own[at : at + (1 << 14)]
                 rows, keys = golay_keys(part.view(np.uint64))
+                if wanted is not None:
+                    on = is_set(wanted, keys)
+                    rows, keys = rows[on], keys[on]
                 yield pa.RecordBatch.from_arrays([pa.array(part[rows]), pa.array(keys.astype(np.int32))], names=["fp", "key"])
 
         return step
@@ -123,12 +133,19 @@ def bucket_keys(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(per_batch(make), "fp long, key int")
 
 
-def linked(fps: DataFrame) -> DataFrame:
-    """Distinct ``fp`` -> (fp, root): the smallest fp (signed) of its component; fps alone are left out."""
+def majority(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of the hashes from bounds[i] to bounds[i + 1] (one at least) the bits set in over half, as signed longs."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, bounds[:-1], axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > np.diff(bounds)[:, None], axis=1, bitorder="little").view("<i8").ravel()
 
-    def near(a: str, b: str):
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
+def near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+
+
+def linked(fps: DataFrame) -> DataFrame:
+    """Distinct ``fp`` -> (fp, root): the smallest fp (signed) of its component; fps alone are left out."""
     return link_by_keys(bucket_keys(fps).withColumnRenamed("fp", "node"), near=near).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
@@ -136,21 +153,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for each row."""
     prepare(docs.sparkSession)
     own = fingerprints(docs, shingle).checkpoint()
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("low")).checkpoint()
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).checkpoint()
     roots = linked(distinct.select("fp"))
-    classes = distinct.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(ids, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of its component.
-
-    Rows that repeat a kept ``doc_id`` go too, one is kept; rows with a null ``doc_id`` are all kept, as
-    nothing tells them apart.
-    """
-    found = near_duplicates(docs, shingle)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    nameless = docs.where("doc_id is null")
-    return docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
+    classes = distinct.join(roots, "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")).checkpoint()
+    ids = classes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    named = hot_join(classes.withColumnRenamed("n", "rows"), ids, "root", classes.count()).select("fp", "component_id", F.col("rows").alias("n")).checkpoint()
+    return hot_join(own, named, "fp", own.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -18,7 +18,11 @@ the passage's words in runs that also occur earlier (by doc_id and place), which
 
 Runs are compared by 64-bit hashes of their words, words beside them by 32-bit ones.
 
-Defined results: null and empty texts, and texts of less than WORDS words, have no passage; rows that
+``n_later`` counts runs alone, without the words by which matches go on left and right: the least that a removal
+takes out. The table of matches lies in the checkpoint folder until that is cleared.
+
+Defined results: of equal hashes in a span the first is the minimiser; a text of any length is taken whole, its
+suffixes ``SLICE`` at a time; null and empty texts, and texts of less than WORDS words, have no passage; rows that
 repeat both id and text count as one document and give its passages once; a null doc_id is the largest and
 comes back as null; an empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
 """
@@ -41,6 +45,8 @@ WORDS, SPAN, GRAM = 50, 20, 3
 #: What suffixes are sorted by.
 ORDER = ["way", "h", "context", "doc", "mark", "place"]
 FLUSH = 400_000
+#: Suffixes whose words beside them are laid out at once.
+SLICE = 20_000
 BUCKET = 600_000
 
 
@@ -132,19 +138,24 @@ def _contexts(run: int, span: int):
                 own = np.frombuffer(batch.column(3)[row + i].as_py(), "<i4")
                 rows.append(np.full(len(own), i))
                 places.append(own)
-            owner, place = np.concatenate(rows), np.concatenate(places).astype(np.int64)
-            at = (place >> 1) + words.first[owner]
-            lo, hi = words.first[owner][:, None], words.first[owner + 1][:, None]
-            after = at[:, None] + run + np.arange(span)
-            before = at[:, None] - 1 - np.arange(span)
-            top = len(short) - 1
-            right = np.where(after < hi, short[np.minimum(after, top)], 0).astype(">u4")
-            left = np.where(before >= lo, short[np.maximum(before, 0)], 0).astype(">u4")
-            h = rolling(words.hash, run)[at].view(np.int64)
-            text = pa.array(row + owner)
-            for way, x in enumerate((right, left)):
-                context = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * span), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), way, np.int32)), pa.array(h), context, batch.column(0).take(text), batch.column(1).take(text), pa.array(place.astype(np.int32))], names=ORDER)
+            every, all_places, runs = np.concatenate(rows), np.concatenate(places).astype(np.int64), rolling(words.hash, run)
+            for first in range(0, len(every), SLICE):
+                owner, place = every[first : first + SLICE], all_places[first : first + SLICE]
+                yield from lay_out(batch, row, words, short, runs, owner, place)
+
+    def lay_out(batch, row, words, short, runs, owner, place):
+        at = (place >> 1) + words.first[owner]
+        lo, hi = words.first[owner][:, None], words.first[owner + 1][:, None]
+        after = at[:, None] + run + np.arange(span)
+        before = at[:, None] - 1 - np.arange(span)
+        top = len(short) - 1
+        right = np.where(after < hi, short[np.minimum(after, top)], 0).astype(">u4")
+        left = np.where(before >= lo, short[np.maximum(before, 0)], 0).astype(">u4")
+        h = runs[at].view(np.int64)
+        text = pa.array(row + owner)
+        for way, x in enumerate((right, left)):
+            context = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * span), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), way, np.int32)), pa.array(h), context, batch.column(0).take(text), batch.column(1).take(text), pa.array(place.astype(np.int32))], names=ORDER)
 
     return step
 

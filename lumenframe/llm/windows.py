@@ -12,7 +12,7 @@ A window's bucket comes from a second, independent hash, so windows count as equ
 and the bucket of the second are. With W windows in all, W / BUCKET buckets, about W * BUCKET / 3.7e19 pairs
 of different windows are taken for equal: 0.000003 over 110 million windows, 0.5 over 2e13 (some 100 TB).
 
-Defined results: null text has no words; a document with fewer words than a window keeps all; repeats
+Defined results: null text has no words; a text of any length is hashed whole, in several runs; a document with fewer words than a window keeps all; repeats
 within one document are kept unless an earlier document has them; rows with the same ``doc_id`` don't
 remove from each other; a null ``doc_id`` counts as larger than any other and comes back as null; an empty
 table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.

@@ -4,7 +4,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import corpus_pipeline
-from lumenframe.llm import copies
+from lumenframe.llm import copies, simhash
 from lumenframe.llm.common import table
 from tests.llm.test_simhash import union
 
@@ -52,8 +52,7 @@ def test_against_brute_force(spark):
 
 
 def test_common_shingles_change_no_result(spark, monkeypatch):
-    monkeypatch.setattr(copies, "COMMON", 2)
-    monkeypatch.setattr(copies, "MOST", 5)
+    monkeypatch.setattr(copies, "COMMON_BITS", 1 << 15)  # most shingles share a bit with a common one
     rows = made()
     got = copies.near_copies(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
@@ -67,5 +66,27 @@ def test_stage_takes_copies_at_four_fifths(spark):
     assert got == sorted({c for _, c in brute(rows)})
 
 
+def test_fingerprints_in_numpy():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+    bounds = np.array([0, 1, 3, 300, 400])
+    for a, b, fp in zip(bounds, bounds[1:], simhash.majority(h, bounds)):
+        want = sum(1 << k for k in range(64) if sum(int(x) >> k & 1 for x in h[a:b]) * 2 > b - a)
+        assert int(fp) % (1 << 64) == want
+
+
+def test_one_of_each_group_stays(spark):
+    """Different texts under one id are different documents; columns with clashing names come back."""
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, long, "a", 5), (1, "quite another text under the same id", "b", 6), (2, long + " x", "c", 7), (None, long, "d", 8), (3, "alone " * 9, "e", 9), (3, "alone " * 9, "e", 9), (None, "nameless but unlike the others here", "f", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string, key int").repartition(3)
+    kept = copies.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted({r for r in rows if r[2] in "abef"}, key=str)
+    assert copies.keep_one(docs.limit(0)).collect() == []
+
+
 def test_empty_table(spark):
     assert copies.near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
