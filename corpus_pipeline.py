@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 from lumenframe.llm import copies, lines, mixing, packing, quality
-from lumenframe.llm.common import prepare, table
+from lumenframe.llm.common import prepare, remove, table
 
 
 def reject_low_quality(spark, docs, sf_dir):
@@ -24,7 +24,8 @@ def remove_repeated_lines(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of each group of near copies (0.8 of their five-word shingles or more) the document with the smallest id stays."""
+    """Of each group of near copies (0.8 of their five-word shingles or more) the document with the smallest id stays.
+    SimHash's Golay keys find most of them; pairs beyond their bits are found by the sets' first shingles."""
     return copies.keep_one(docs)
 
 
@@ -60,4 +61,6 @@ def run(spark, sf_dir):
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+        if 0 < k < len(STAGES) - 1:  # the last stage may read its input again; what lies before it is done with
+            remove(spark, f"{folder}/{k - 1}")
     return docs
