@@ -112,7 +112,7 @@ def shifted_covariance(spark, sf_dir):
     cov = checkpoint(moved.groupBy("shift").agg(F.covar_samp("x", "x").alias("xx"), F.covar_samp("x", "y").alias("xy"), F.covar_samp("y", "y").alias("yy")))
     real = cov.where("shift = 0").select(F.col("xx").alias("axx"), F.col("xy").alias("axy"), F.col("yy").alias("ayy"))
     gap = F.expr("(pow(xx - axx, 2) + 2 * pow(xy - axy, 2) + pow(yy - ayy, 2)) / greatest(pow(axx, 2) + 2 * pow(axy, 2) + pow(ayy, 2), 1e-15D)")
-    scored = cov.where("shift > 0").crossJoin(F.broadcast(real)).select("shift", F.round(1 - gap, 7).alias("similarity"))  # one row
+    scored = cov.where("shift > 0").crossJoin(F.broadcast(real)).select(F.col("shift").cast("bigint").alias("shift"), F.round(1 - gap, 7).alias("similarity"))  # one row
     return scored.select("shift", "similarity", F.row_number().over(W.orderBy(F.desc("similarity"), "shift")).cast("bigint").alias("rank"), (F.col("similarity") >= ALIKE).alias("matched"))  # a row for each shift
 
 
