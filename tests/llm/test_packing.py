@@ -76,3 +76,15 @@ def test_ids_equal_the_full_tokenizer(text):
     path = packing.tokenizer_path()
     test_ids_equal_the_full_tokenizer.full = full = getattr(test_ids_equal_the_full_tokenizer, "full", None) or Tokenizer.from_file(path)
     assert packing._encoder(path)(text).tolist() == full.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_all_documents_are_those_of_tokenizers():
+    """Every text of sf0.01, and texts over 200,000 characters with and without spaces, encoded by both libraries."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    full, encode = Tokenizer.from_file(packing.tokenizer_path()), packing._encoder(packing.tokenizer_path())
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    texts += [" ".join(texts)[:260_000], "é日本 x" * 60_000, "ab" * 110_000]
+    for text, own in zip(texts, full.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == own.ids
