@@ -58,7 +58,7 @@ def test_cores_and_still_balls_are_not_compared(spark):
     report = []
     got = rows_of(balls.cluster(make(spark, rows), k=5, rounds=30, size=2, report=report, replay=2))
     assert got == brute(rows, 5, 30, 2)
-    assert sum(t for t, _ in report) < 500 * 5 * len(report) / 2 and len(report) < 30
+    assert len(report) < 30 and report[-1][0] < 600 and report[-1][1] >= 3  # plain rounds work out 2,500 distances
 
 
 def test_ties_and_repeats(spark):
