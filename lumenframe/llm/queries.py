@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lumenframe.llm import avi, balls, lines, mixing, packing, prefixes, quality, secret_scan, simhash, spotsigs, suffixes, windows
+from lumenframe.llm import avi, balls, lines, mixing, packing, pages, prefixes, quality, secret_scan, simhash, spotsigs, suffixes, windows
 from lumenframe.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_ball_kmeans(spark, sf_dir):
     return balls.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_consensus_paths(spark, sf_dir):
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_prefix_trie(spark, sf_dir):
     return prefixes.trie(table(spark, sf_dir, "conversations"))
 
@@ -68,7 +72,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_forest, op2_additive_quality, op3_avi_clips, op4_spotsigs, spotsigs_classes, op5_golay_simhash, op6_sparse_suffixes, op7_best_fit_packing,
-        op8_temperature_mixing, op9_line_chunks, op10_window_dedup, op11_ball_kmeans, op13_prefix_trie, pipeline,
+        op8_temperature_mixing, op9_line_chunks, op10_window_dedup, op11_ball_kmeans, op12_consensus_paths, op13_prefix_trie, pipeline,
     )
 }
 
