@@ -276,7 +276,7 @@ def winners(counted: DataFrame, least: float = WINS) -> DataFrame:
 def main_text(pages: DataFrame, least: float = WINS, hosts: int = HOSTS) -> DataFrame:
     """page_id, url, text, n_chars, path (of the container taken) of every page."""
     prepare(pages.sparkSession)
-    won = winners(votes(pages), least).checkpoint()
+    won = winners(votes(pages).checkpoint(), least).checkpoint()
     known = won.agg(F.count("*"), F.sum("n")).first()
     rows = with_host(pages)
     joined = rows.join(F.broadcast(won), "host") if known[0] <= hosts else hot_join(rows, won, "host", known[1])
