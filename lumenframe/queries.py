@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lumenframe.operators import curves, demix, dynamics, extensions, fitted, gaussian, graph, linear, moments, relations, sequence, summary
+from lumenframe.operators import channels, curves, demix, dynamics, extensions, fitted, gaussian, graph, linear, moments, relations, sequence, summary
 from lumenframe.plans import cross_suite, demixing_task, gaussian_task, nonlinear_task, rotation_task, static_task, temporal_task
 from lumenframe.sources import designs
 
-MODULES = (sequence, summary, moments, graph, fitted, extensions, gaussian_task, static_task, temporal_task, demixing_task, rotation_task, nonlinear_task, cross_suite, relations, linear, demix, dynamics, gaussian, curves, designs)
+MODULES = (sequence, channels, summary, moments, graph, fitted, extensions, gaussian_task, static_task, temporal_task, demixing_task, rotation_task, nonlinear_task, cross_suite, relations, linear, demix, dynamics, gaussian, curves, designs)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
