@@ -1,4 +1,4 @@
-"""The synthesis over all seven benchmark tasks: what occurs, applies, fails and is covered. Counts and rates only; no
+"""The synthesis over the benchmark tasks: what occurs, applies, fails and is covered. Counts and rates only; no
 metric value is taken over. Also the checks of result rows against their registries, and of a resumed run."""
 
 from __future__ import annotations
@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.plans import demixing_task, gaussian_task, nonlinear_task, rotation_task, static_task, temporal_task
+from lumenframe.plans import demixing_task, gaussian_task, rotation_task, static_task
 from lumenframe.plans.status import STATUSES
 from lumenframe.session import checkpoint
 
@@ -14,11 +14,8 @@ from lumenframe.session import checkpoint
 SOURCES = (
     ("linear-gaussian-robustness", "linear_gaussian_inference", gaussian_task.linear_gaussian_results),
     ("static-linear-latent-robustness", "static_linear_latent_recovery", static_task.static_linear_results),
-    ("temporal-covariance-inference", "temporal_covariance_inference", temporal_task.temporal_covariance_results),
     ("demixing-rotational-robustness", None, demixing_task.demixing_results),
     ("demixing-rotational-robustness", None, rotation_task.rotation_results),
-    ("nonlinear-graph-robustness", None, nonlinear_task.reconstruction_results),
-    ("nonlinear-graph-robustness", None, nonlinear_task.graph_results),
 )
 COLUMNS = ("scenario", "scenario_class", "replicate", "method", "metric", "target", "information_set", "status", "reason", "value", "row_key")
 FIELDS = ("record_type", "benchmark", "task", "scenario", "scenario_class", "method", "dimension", "value_label", "numerator", "denominator", "rate", "status", "stress_class", "applicable_target_families", "source_reference", "notes")
