@@ -50,7 +50,7 @@ def nystrom(spark, sf_dir):
 
 
 def diffusion_distances(spark, sf_dir):
-    """Spectral and direct diffusion distances agree; error of keeping two modes."""
+    """Spectral and direct diffusion distances agree; error of keeping two modes. All pairs of a label at once: larger labels are ``inapplicable``."""
 
     def fit(pdf):
         m = diffusion_model(np.stack(pdf.sort_values("vec_id")["x"].to_numpy()))
@@ -59,7 +59,9 @@ def diffusion_distances(spark, sf_dir):
         spectral, direct, short = (np.sqrt(_square(v, v))[pairs] for v in (z, m["p"] / np.sqrt(m["pi"]), z[:, :2]))
         return pd.DataFrame([(int(pdf["label"].iloc[0]), round(float(np.abs(spectral - direct).max()), 6), round(float(np.sqrt(((short - spectral) ** 2).mean() / (spectral**2).mean())), 6))], columns=["label", "max_gap", "truncation"])
 
-    return dense(vectors(spark, sf_dir), spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, max_gap double, truncation double")
+    made = dense(vectors(spark, sf_dir), spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, max_gap double, truncation double")
+    refused = small_labels(spark, sf_dir)[1].select("label", *(F.lit(None).cast("double") for _ in range(2)), F.lit("inapplicable"))
+    return made.withColumn("status", F.lit("ok")).union(refused)
 
 
 def gower(d2: np.ndarray, coordinates: np.ndarray, new: np.ndarray) -> np.ndarray:

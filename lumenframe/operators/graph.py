@@ -2,8 +2,8 @@
 
 Neighbours are looked for inside a label. Vectors are dealt to blocks of bounded size and blocks meet block by
 block, as matrix products, so that a large label is many tasks; the square of a label's size is what an exact
-neighbour graph costs. Dense spectral forms take labels of at most ``DENSE`` vectors; larger ones are
-``inapplicable``.
+neighbour graph costs. ``isomap`` here is the dense form for labels of at most ``DENSE`` vectors, larger ones are
+``inapplicable``; ``landmarks`` and ``spectral`` have forms for labels of any size.
 """
 
 from __future__ import annotations
@@ -23,62 +23,85 @@ K, EPSILON = 4, 0.8
 BLOCK, DENSE = 256, 4000
 
 
-def _block_pairs(v: DataFrame, emit, schema: str) -> DataFrame:
-    """``emit(label, ids_a, ids_b, w)`` gives a record batch for each pair of blocks of a label; w: distances, rounded."""
-    most = v.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks = max(1, -(-most // BLOCK))
-    row = F.struct(F.col("vec_id").alias("id"), F.col("x"))
-    dealt = v.groupBy("label", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(row)).alias("rows"))  # about BLOCK vectors
-    left = dealt.select("label", F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = left.join(dealt.withColumnRenamed("rows", "b"), ["label", "block"]).select("label", "a", "b")
+def block_pairs(a: DataFrame, b: DataFrame, emit, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``emit(label, a, b, w)`` gives a record batch for each pair of blocks of a label; a, b: arrays of the blocks' rows by name (vec_id, x and
+    ``carry``: numbers or arrays of numbers); w: distances, rounded. ``a`` and ``b``: label, vec_id, x and ``carry``. A label has as many blocks as its size asks for."""
+    row = F.struct("vec_id", "x", *carry)
+
+    def dealt(v):
+        blocks = v.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        own = v.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        return own.groupBy("label", "blocks", "block").agg(F.sort_array(F.collect_list(row)).alias("rows"))  # about BLOCK vectors
+
+    right = dealt(b).select("label", "block", F.col("rows").alias("b"), "blocks")
+    counts = b.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))
+    left = dealt(a).join(counts, "label").select("label", F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("block"))
+    pairs = left.join(right, ["label", "block"]).select("label", "a", "b")
 
     def unpack(cell):
         own = cell.values
-        return own.field("id").to_numpy(), own.field("x").flatten().to_numpy().reshape(len(own), -1)
+        out = {}
+        for name in ("vec_id", "x", *carry):
+            field = own.field(name)
+            out[name] = field.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if pa.types.is_list(field.type) else field.to_numpy(zero_copy_only=False)
+        return out
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                (ids_a, a), (ids_b, b) = unpack(batch.column(1)[k]), unpack(batch.column(2)[k])
-                d2 = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
-                yield emit(batch.column(0)[k].as_py(), ids_a, ids_b, np.round(np.sqrt(np.maximum(d2, 0)), 6))
+                one, other = unpack(batch.column(1)[k]), unpack(batch.column(2)[k])
+                d2 = (one["x"] ** 2).sum(1)[:, None] + (other["x"] ** 2).sum(1) - 2 * one["x"] @ other["x"].T
+                w = np.round(np.sqrt(np.maximum(d2, 0)), 6)
+                w[one["vec_id"][:, None] == other["vec_id"]] = 0.0
+                yield emit(batch.column(0)[k].as_py(), one, other, w)
 
     return pairs.mapInArrow(run, schema)
 
 
-def _rows(label, src, dst, w) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(src), label, np.int32)), pa.array(src), pa.array(dst), pa.array(w)], names=["label", "src", "dst", "w"])
+def _rows(label, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, label, np.int32)), *(pa.array(c) for c in columns.values())], names=["label", *columns])
 
 
 def distances(spark, sf_dir) -> DataFrame:
     """label, src, dst, w for all ordered pairs of a label."""
 
-    def emit(label, ids_a, ids_b, w):
-        src, dst = np.repeat(ids_a, len(ids_b)), np.tile(ids_b, len(ids_a))
+    def emit(label, a, b, w):
+        src, dst = np.repeat(a["vec_id"], len(b["vec_id"])), np.tile(b["vec_id"], len(a["vec_id"]))
         other = src != dst
-        return _rows(label, src[other], dst[other], w.ravel()[other])
+        return _rows(label, src=src[other], dst=dst[other], w=w.ravel()[other])
+
+    v = vectors(spark, sf_dir)
+    return block_pairs(v, v, emit, "label int, src long, dst long, w double")
+
+
+def nearest(a: DataFrame, b: DataFrame, k: int = K) -> DataFrame:
+    """label, src, dst, w, rank: the ``k`` nearest in ``b`` of each vector of ``a``, not counting itself; ties go to
+    the smaller id. A pair of blocks hands on ``k`` a vector."""
+
+    def emit(label, a, b, w):
+        w = np.where(a["vec_id"][:, None] == b["vec_id"], np.inf, w)
+        near = np.argsort(w, axis=1, kind="stable")[:, :k]  # ids rise, so ties go to the smaller
+        src, dst, d = np.repeat(a["vec_id"], near.shape[1]), b["vec_id"][near].ravel(), np.take_along_axis(w, near, 1).ravel()
+        return _rows(label, src=src[np.isfinite(d)], dst=dst[np.isfinite(d)], w=d[np.isfinite(d)])
 
-    return _block_pairs(vectors(spark, sf_dir), emit, "label int, src long, dst long, w double")
+    by_distance = W.partitionBy("label", "src").orderBy("w", "dst")
+    top = block_pairs(a, b, emit, "label int, src long, dst long, w double")
+    return top.withColumn("rank", F.row_number().over(by_distance).cast("bigint")).where(F.col("rank") <= k)
 
 
 def pairwise_topk(spark, sf_dir):
-    """The K nearest of each vector; ties go to the smaller id. A pair of blocks hands on K a vector."""
+    v = vectors(spark, sf_dir)
+    return nearest(v, v)
 
-    def emit(label, ids_a, ids_b, w):
-        w = np.where(ids_a[:, None] == ids_b, np.inf, w)
-        near = np.argsort(w, axis=1, kind="stable")[:, :K]  # ids rise, so ties go to the smaller
-        src, dst, d = np.repeat(ids_a, near.shape[1]), ids_b[near].ravel(), np.take_along_axis(w, near, 1).ravel()
-        return _rows(label, src[np.isfinite(d)], dst[np.isfinite(d)], d[np.isfinite(d)])
 
-    near = W.partitionBy("label", "src").orderBy("w", "dst")
-    top = _block_pairs(vectors(spark, sf_dir), emit, "label int, src long, dst long, w double")
-    return top.withColumn("rank", F.row_number().over(near).cast("bigint")).where(F.col("rank") <= K)
+def union_edges(top: DataFrame) -> DataFrame:
+    """Symmetric union of neighbour lists, each edge once with its smallest weight."""
+    return top.groupBy("label", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("w").alias("w"))
 
 
 def knn_edges(spark, sf_dir) -> DataFrame:
-    """Symmetric union of the neighbour lists, each edge once with its smallest weight."""
-    e = pairwise_topk(spark, sf_dir)
-    return e.groupBy("label", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("w").alias("w"))
+    return union_edges(pairwise_topk(spark, sf_dir))
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
@@ -110,38 +133,63 @@ def graph_diagnostics(spark, sf_dir):
     return e.join(c, "label").select("label", "edges", "mean_w", "max_w", "long_edges", "components", (F.col("n") * (F.col("n") - 1) / 2 - F.col("inside")).cast("bigint").alias("infinite_pairs"))
 
 
-def _all_pairs(spark, sf_dir) -> DataFrame:
-    own = vectors(spark, sf_dir).select("label", F.col("vec_id").alias("src"), F.col("vec_id").alias("dst"), F.lit(0.0).alias("w"))
-    return distances(spark, sf_dir).union(own)
+def block_sums(a: DataFrame, b: DataFrame, columns: int, cells, carry: tuple[str, ...] = ()) -> DataFrame:
+    """label, vec_id, c0, c1, ...: sums over all of ``b`` for each vector of ``a``. ``cells(a, b, w)`` gives the sums over a block, one column each; pairs never become rows."""
+
+    def emit(label, a, b, w):
+        made = cells(a, b, w)
+        return _rows(label, vec_id=a["vec_id"], **{f"c{j}": np.ascontiguousarray(made[:, j]) for j in range(columns)})
+
+    parts = block_pairs(a, b, emit, "label int, vec_id long, " + ", ".join(f"c{j} double" for j in range(columns)), carry)
+    return parts.groupBy("label", "vec_id").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(columns)))
 
 
 def double_center(spark, sf_dir):
-    """-1/2 of squared distances, centred by row, column and whole. Means are aggregates that meet the pairs again;
-    as distances are symmetric, a column's mean is its row's."""
-    d = _all_pairs(spark, sf_dir).select("label", "src", "dst", (F.col("w") * F.col("w")).alias("s"))
-    rows = d.groupBy("label", "src").agg(F.avg("s").alias("m"))
-    whole = rows.groupBy("label").agg(F.avg("m").alias("g"))
-    both = d.join(rows.withColumnRenamed("m", "a"), ["label", "src"]).join(rows.select("label", F.col("src").alias("dst"), F.col("m").alias("b")), ["label", "dst"]).join(whole, "label")
-    return both.select("label", "src", "dst", F.round((F.col("s") - F.col("a") - F.col("b") + F.col("g")) * -0.5 + 1e-12, 5).alias("b"))
+    """-1/2 of squared distances, centred by row, column and whole. Row sums are one pass over pairs of blocks, the
+    centred values another that has the means at hand; as distances are symmetric, a column's mean is its row's."""
+    v = vectors(spark, sf_dir)
+    sums = block_sums(v, v, 2, lambda a, b, w: np.stack([(w * w).sum(1), np.full(len(w), float(w.shape[1]))], 1))
+    means = checkpoint(sums.select("label", "vec_id", (F.col("c0") / F.col("c1")).alias("m")))
+    whole = means.groupBy("label").agg(F.avg("m").alias("g"))
+    at_hand = v.join(means, ["label", "vec_id"]).join(whole, "label")
+
+    def emit(label, a, b, w):
+        src, dst = np.repeat(a["vec_id"], len(b["vec_id"])), np.tile(b["vec_id"], len(a["vec_id"]))
+        return _rows(label, src=src, dst=dst, b=((w * w - a["m"][:, None] - b["m"] + a["g"][:, None]) * -0.5 + 1e-12).ravel())
+
+    return block_pairs(at_hand, at_hand, emit, "label int, src long, dst long, b double", ("m", "g")).withColumn("b", F.round("b", 5))
+
 
+def with_density(v: DataFrame) -> DataFrame:
+    """Adds ``q``, the sum of a vector's kernel row."""
+    sums = block_sums(v, v, 1, lambda a, b, w: np.exp(-w * w / EPSILON).sum(1)[:, None])
+    return v.join(checkpoint(sums.withColumnRenamed("c0", "q")), ["label", "vec_id"])
 
-def _kernel(spark, sf_dir) -> DataFrame:
-    a = _all_pairs(spark, sf_dir).select("label", "src", "dst", F.exp(-F.col("w") * F.col("w") / EPSILON).alias("a"))
-    q = a.groupBy("label", "src").agg(F.sum("a").alias("q"))
-    p = q.select("label", F.col("src").alias("dst"), F.col("q").alias("p"))
-    return a.join(q, ["label", "src"]).join(p, ["label", "dst"]).select("label", "src", "dst", (F.col("a") / (F.col("q") * F.col("p"))).alias("k"))
+
+def _normalised(a, b, w):
+    return np.exp(-w * w / EPSILON) / np.outer(a["q"], b["q"])
 
 
 def diffusion_markov(spark, sf_dir):
-    """Row-stochastic operator after density normalisation; its rows' sums, diagonal and entropy, in one aggregate."""
-    k = F.col("k")
-    r = _kernel(spark, sf_dir).groupBy("label", "src").agg(F.sum("k").alias("s"), F.sum(k * F.log(k)).alias("e"), F.max(F.when(F.col("src") == F.col("dst"), k)).alias("own"))
-    return r.select("label", "src", F.round(F.col("s") / F.col("s"), 6).alias("total"), F.round(F.col("own") / F.col("s"), 6).alias("stay"), F.round(F.log("s") - F.col("e") / F.col("s"), 5).alias("entropy"))
+    """Row-stochastic operator after density normalisation; its rows' sums, diagonal and entropy."""
+    v = with_density(vectors(spark, sf_dir))
+
+    def cells(a, b, w):
+        k = _normalised(a, b, w)
+        return np.stack([k.sum(1), (k * np.log(k)).sum(1), np.where(a["vec_id"][:, None] == b["vec_id"], k, 0.0).sum(1)], 1)
+
+    r = block_sums(v, v, 3, cells, ("q",))
+    return r.select("label", F.col("vec_id").alias("src"), F.round(F.col("c0") / F.col("c0"), 6).alias("total"), F.round(F.col("c2") / F.col("c0"), 6).alias("stay"), F.round(F.log("c0") - F.col("c1") / F.col("c0"), 5).alias("entropy"))
+
+
+def degrees(v: DataFrame) -> DataFrame:
+    """label, vec_id, d: row sums of the normalised kernel. ``v`` has densities."""
+    return block_sums(v, v, 1, lambda a, b, w: _normalised(a, b, w).sum(1)[:, None], ("q",)).withColumnRenamed("c0", "d")
 
 
 def diffusion_stationary(spark, sf_dir):
-    d = _kernel(spark, sf_dir).groupBy("label", "src").agg(F.sum("k").alias("d"))
-    return d.join(d.groupBy("label").agg(F.sum("d").alias("total")), "label").select("label", "src", F.round(F.col("d") / F.col("total"), 8).alias("pi"))
+    d = checkpoint(degrees(with_density(vectors(spark, sf_dir))))
+    return d.join(d.groupBy("label").agg(F.sum("d").alias("total")), "label").select("label", F.col("vec_id").alias("src"), F.round(F.col("d") / F.col("total"), 8).alias("pi"))
 
 
 def collision_rate(spark, sf_dir):
@@ -156,7 +204,7 @@ def collision_rate(spark, sf_dir):
     return pairs.groupBy("label").agg(F.count("*").alias("near"), F.count_if(far).alias("far")).withColumn("rate", F.round(F.col("far") / F.col("near"), 6))
 
 
-# Spectral forms: a dense matrix for each label, in a grouped function.
+# Dense forms: a matrix for each label, in a grouped function.
 
 
 def small_labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +219,7 @@ def dense(frame: DataFrame, spark, sf_dir) -> DataFrame:
 
 
 def shortest_paths(n: int, src, dst, w) -> np.ndarray:
-    """All-pairs path lengths by min-plus squaring; infinite without a path."""
+    """All-pairs path lengths by allowing one more node between at a time; infinite without a path."""
     d = np.full((n, n), np.inf)
     np.fill_diagonal(d, 0.0)
     np.minimum.at(d, (src, dst), w)
@@ -208,23 +256,9 @@ def isomap(spark, sf_dir):
     return made.union(large.select("label", "vec_id", F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit("inapplicable")))
 
 
-def diffusion_spectrum(spark, sf_dir):
-    """Leading eigenvalues of the diffusion operator; the largest is one."""
-
-    def fit(pdf):
-        ids = np.unique(pdf["src"])
-        k = np.zeros((len(ids), len(ids)))
-        k[np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])] = pdf["k"]
-        degree = k.sum(1)
-        values = np.linalg.eigvalsh(k / np.sqrt(np.outer(degree, degree)))[::-1][:5]
-        return pd.DataFrame({"label": int(pdf["label"].iloc[0]), "mode": range(len(values)), "value": values.round(6)})
-
-    return dense(_kernel(spark, sf_dir), spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, mode int, value double")
-
-
 QUERIES = {
     f.__name__: f
-    for f in (pairwise_topk, knn_edges, knn_components, graph_diagnostics, double_center, diffusion_markov, diffusion_stationary, collision_rate, isomap, diffusion_spectrum)
+    for f in (pairwise_topk, knn_edges, knn_components, graph_diagnostics, double_center, diffusion_markov, diffusion_stationary, collision_rate, isomap)
 }
 
 _DIST = "e AS MATERIALIZED (SELECT label, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), d AS MATERIALIZED (SELECT a.label, a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.x, b.x), 6) AS w FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)"
