@@ -35,20 +35,6 @@ def extend(model: dict, new: np.ndarray, epsilon: float = EPSILON) -> np.ndarray
     return (k / k.sum(1, keepdims=True)) @ model["psi"] / values
 
 
-def nystrom(spark, sf_dir):
-    """Vectors of each label with even ids fit the model; the others are placed by extension."""
-
-    def fit(pdf):
-        x = np.stack(pdf["x"].to_numpy())
-        even = pdf["vec_id"].to_numpy() % 2 == 0
-        model = diffusion_model(x[even])
-        psi = extend(model, x[~even])[:, 1:3]
-        back = np.abs(extend(model, x[even])[:, :3] - model["psi"][:, :3]).max()
-        return pd.DataFrame({"label": int(pdf["label"].iloc[0]), "vec_id": pdf["vec_id"].to_numpy()[~even], "a": psi[:, 0].round(6), "b": psi[:, 1].round(6), "self_error": round(float(back), 9)})
-
-    return dense(vectors(spark, sf_dir), spark, sf_dir).groupBy("label").applyInPandas(fit, "label int, vec_id long, a double, b double, self_error double")
-
-
 def diffusion_distances(spark, sf_dir):
     """Spectral and direct diffusion distances agree; error of keeping two modes. All pairs of a label at once: larger labels are ``inapplicable``."""
 
@@ -152,5 +138,5 @@ def factor_restarts(spark, sf_dir, restarts: int = 3):
     return halves.groupBy("label").applyInPandas(fit, "label int, floor double, restart int, train_nll double, validation_nll double, rounds int, status string")
 
 
-QUERIES = {f.__name__: f for f in (nystrom, diffusion_distances, isomap_extend, label_shuffle_null, covariance_shuffles, factor_restarts)}
+QUERIES = {f.__name__: f for f in (diffusion_distances, isomap_extend, label_shuffle_null, covariance_shuffles, factor_restarts)}
 ORACLES: dict[str, str] = {}

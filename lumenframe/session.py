@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +31,14 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     if prepare(frame.sparkSession).sparkContext.getCheckpointDir() is None:
         raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     return frame.checkpoint()
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """As ``checkpoint``, by a table in the shared folder: for loops, as a checkpoint's plan keeps all that was known of
+    its columns, and in a loop of joins the optimizer's work on that multiplies."""
+    spark = prepare(frame.sparkSession)
+    if spark.sparkContext.getCheckpointDir() is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.parquet(path)

@@ -4,8 +4,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_extensions_agree_with_the_fit(spark):
-    assert all(r["self_error"] < 1e-5 for r in extensions.nystrom(spark, FOLDER).collect())
-    assert all(r["max_gap"] < 1e-4 for r in extensions.diffusion_distances(spark, FOLDER).collect())
+    assert all(r["max_gap"] < 1e-4 and r["status"] == "ok" for r in extensions.diffusion_distances(spark, FOLDER).collect())
     placed = extensions.isomap_extend(spark, FOLDER).collect()
     assert placed and all(r["status"] == "inapplicable" or r["max_gap"] < 1e-6 for r in placed)
 
