@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.functions.ranks import row_numbers
 from lumenframe.operators.graph import _TOP, pairwise_topk
 from lumenframe.operators.moments import DIMS, long_vectors
 from lumenframe.operators.sequence import STANDARD, persistence, standard
@@ -194,8 +195,8 @@ def unique_starts(spark, sf_dir):
 def ordinal_spearman(spark, sf_dir):
     """Absolute rank correlation with ties ranked by position, 0 where a column is constant."""
     rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", "l_extendedprice", "l_orderkey")
-    own = W.partitionBy("l_linenumber")
-    ranked = rows.select("l_linenumber", F.row_number().over(own.orderBy("l_quantity", "l_orderkey", "l_extendedprice")).alias("a"), F.row_number().over(own.orderBy("l_extendedprice", "l_orderkey", "l_quantity")).alias("b"))
+    ranked = row_numbers(rows, ["l_linenumber"], ["l_quantity", "l_orderkey", "l_extendedprice"], "a")
+    ranked = row_numbers(ranked, ["l_linenumber"], ["l_extendedprice", "l_orderkey", "l_quantity", "a"], "b")
     return ranked.groupBy("l_linenumber").agg(F.round(F.coalesce(F.abs(F.corr("a", "b")), F.lit(0.0)), 6).alias("rho"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.ranks import value_ranks
 from lumenframe.plans.status import RESULTS, STATUSES, results, row_key
+from lumenframe.session import written
 from lumenframe.sources.tables import table
 
 
@@ -131,13 +132,23 @@ def learned_minus_known(spark, sf_dir):
     return results(spark, sf_dir).groupBy("scenario").agg(F.round(m("m1") - m("m0"), 5).alias("gap"))
 
 
+def weighted_correlation(a: str, b: str, n: str):
+    """Correlation of two columns whose rows occur ``n`` times, about their means to keep digits."""
+    total = F.sum(n)
+    mean = lambda c: F.sum(F.col(c) * F.col(n)) / total
+    part = lambda c, d: F.sum(F.col(c) * F.col(d) * F.col(n)) / total - mean(c) * mean(d)
+    return part(a, b) / F.sqrt(part(a, a) * part(b, b))
+
+
 def spearman(spark, sf_dir):
-    """Rank correlation of quantity and price by line number, mean ranks for ties."""
-    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", "l_extendedprice")
+    """Rank correlation of quantity and price by line number, mean ranks for ties. Equal pairs are counted once, and
+    both columns are ranked from the counts."""
+    pairs = written(table(spark, sf_dir, "lineitem").groupBy("l_linenumber", "l_quantity", "l_extendedprice").agg(F.count("*").alias("rows")))
+    ranked = pairs
     for column, out in (("l_quantity", "a"), ("l_extendedprice", "b")):
-        ranks = value_ranks(rows, ["l_linenumber"], column)
-        rows = rows.join(ranks.select("l_linenumber", column, (F.col("before") + (F.col("n") + 1) / 2).alias(out)), ["l_linenumber", column])
-    return rows.groupBy("l_linenumber").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+        ranks = value_ranks(pairs, ["l_linenumber"], column, "rows")
+        ranked = ranked.join(ranks.select("l_linenumber", column, (F.col("before") + (F.col("n") + 1) / 2).alias(out)), ["l_linenumber", column])
+    return ranked.groupBy("l_linenumber").agg(F.round(weighted_correlation("a", "b", "rows"), 6).alias("rho"))
 
 
 QUERIES = {
