@@ -217,7 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     known = known.where("low = high").where(~held_out("doc_id"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("low").alias("y"))
-    rows = _features_of(docs.join(taken, "doc_id", "left_semi")).join(taken, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
+    # at most ``sample`` rows, a few bytes each, sent to all tasks: the texts stay where they are
+    rows = _features_of(docs.join(F.broadcast(taken), "doc_id", "left_semi")).join(F.broadcast(taken), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["y"] for r in rows], dtype=float))
