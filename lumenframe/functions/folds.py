@@ -1,78 +1,10 @@
-"""Recursions over an ordered array as SQL folds: scalar state-space filters and what goes with them.
-
-A sequence is an array of (t, x, seen) structs, in order. A fold keeps the array of its steps as state, so
-its cost grows with the square of a sequence's length; sequences of some hundred steps are what it is for.
-"""
+"""Recursions that need no rows, as SQL folds over a horizon."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STEP = "array<struct<t:bigint,pm:double,pv:double,m:double,v:double,inn:double,s:double,nll:double>>"
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _d(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(float(x))
-
-
-def kalman(seq: Column, a, q, r) -> Column:
-    """Scalar filter with a stationary prior: predicted and filtered mean and variance, innovation, its
-    variance and negative log likelihood (null where nothing is seen) of each step."""
-    a, q, r = _d(a), _d(q), _d(r)
-
-    def step(done: Column, now: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        first = F.size(done) == 0
-        mean = F.when(first, F.lit(0.0)).otherwise(a * last["m"])
-        var = F.when(first, q / (1 - a * a)).otherwise(a * a * last["v"] + q)
-
-        def update(p: Column) -> Column:
-            seen = now["seen"]
-            inn, s = now["x"] - p["pm"], p["pv"] + r
-            gain = p["pv"] / s
-            row = F.struct(
-                now["t"].cast("bigint").alias("t"), p["pm"].alias("pm"), p["pv"].alias("pv"),
-                F.when(seen, p["pm"] + gain * inn).otherwise(p["pm"]).alias("m"), F.when(seen, (1 - gain) * p["pv"]).otherwise(p["pv"]).alias("v"),
-                F.when(seen, inn).alias("inn"), F.when(seen, s).alias("s"), F.when(seen, (F.log(2 * math.pi * s) + inn * inn / s) * 0.5).alias("nll"),
-            )
-            return F.concat(done, F.array(row))
-
-        return let(F.struct(mean.alias("pm"), var.alias("pv")), update)
-
-    return F.aggregate(seq, F.array().cast(STEP), step)
-
-
-def smoother(steps: Column, a) -> Column:
-    """Fixed-interval smoother of filter steps: (t, sm, sv), in order of time."""
-    a = _d(a)
-    kind = "array<struct<t:bigint,pm:double,pv:double,sm:double,sv:double>>"
-
-    def back(done: Column, now: Column) -> Column:
-        nxt = F.try_element_at(done, F.lit(-1))
-        first = F.size(done) == 0
-        gain = now["v"] * a / nxt["pv"]
-        row = F.struct(
-            now["t"].alias("t"), now["pm"].alias("pm"), now["pv"].alias("pv"),
-            F.when(first, now["m"]).otherwise(now["m"] + gain * (nxt["sm"] - nxt["pm"])).alias("sm"),
-            F.when(first, now["v"]).otherwise(now["v"] + gain * gain * (nxt["sv"] - nxt["pv"])).alias("sv"),
-        )
-        return F.concat(done, F.array(row))
-
-    return F.reverse(F.aggregate(F.reverse(steps), F.array().cast(kind), back))
-
-
-def sequence_of(t, x, seen) -> Column:
-    """Aggregate: the ordered sequence of a group."""
-    return F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(x).alias("x"), F.col(seen).alias("seen"))))
-
 
 def open_loop_variance(a: float, q: float, v0: float, horizon: Column) -> Column:
     """v <- a*a*v + q, ``horizon`` times."""
