@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Everything stays distributed: neighbourhoods are reduced to their smallest node by partial aggregation
-and joined back, so that a node of very high degree is never gathered. Each round is written to the
-shared checkpoint folder, which cuts lineage and survives lost executors.
+and joined back. The edges of a node of very high degree meet their one row by a sort-merge join, whose large
+partitions Spark splits; they are never collected. Each round is written to the shared checkpoint folder,
+which cuts lineage and survives lost executors.
 """
 
 from __future__ import annotations
