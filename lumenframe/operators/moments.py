@@ -46,9 +46,9 @@ def standardize(spark, sf_dir):
 HELD = 256
 
 
-def covariance(frame: DataFrame, array: str, group: list[str]) -> DataFrame:
-    """group, i, j, cov, mean_i, n: population covariance in coordinate form. Each task sums its products a group
-    (a matrix product a batch), so that only such sums are shuffled."""
+def product_sums(frame: DataFrame, array: str, group: list[str]) -> DataFrame:
+    """group, i, j (i <= j), p, s_i, s_j, n: sums of products and of entries in coordinate form. Each task sums its
+    products a group (a matrix product a batch), so that only such sums are shuffled."""
 
     def partial(frames):
         held: dict[tuple, list] = {}
@@ -75,7 +75,12 @@ def covariance(frame: DataFrame, array: str, group: list[str]) -> DataFrame:
 
     kinds = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in group)
     sums = frame.select(*group, array).mapInPandas(partial, f"{kinds}, i int, j int, p double, s_i double, s_j double, n long")
-    m = sums.groupBy(*group, "i", "j").agg(*(F.sum(c).alias(c) for c in ("p", "s_i", "s_j", "n")))
+    return sums.groupBy(*group, "i", "j").agg(*(F.sum(c).alias(c) for c in ("p", "s_i", "s_j", "n")))
+
+
+def covariance(frame: DataFrame, array: str, group: list[str]) -> DataFrame:
+    """group, i, j, cov, mean_i, n: population covariance in coordinate form."""
+    m = product_sums(frame, array, group)
     return m.select(*group, "i", "j", (F.col("p") / F.col("n") - F.col("s_i") / F.col("n") * (F.col("s_j") / F.col("n"))).alias("cov"), (F.col("s_i") / F.col("n")).alias("mean_i"), "n")
 
 
