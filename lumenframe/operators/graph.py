@@ -36,7 +36,11 @@ def block_pairs(a: DataFrame, b: DataFrame, emit, schema: str, carry: tuple[str,
     right = dealt(b).select("label", "block", F.col("rows").alias("b"), "blocks")
     counts = b.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))
     left = dealt(a).join(counts, "label").select("label", F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("block"))
-    pairs = left.join(right, ["label", "block"]).select("label", "a", "b")
+    return met(left.join(right, ["label", "block"]).select("label", "a", "b"), emit, schema, carry)
+
+
+def met(pairs: DataFrame, emit, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``block_pairs`` for given pairs: label, a, b, the latter arrays of vec_id, x and ``carry``."""
 
     def unpack(cell):
         own = cell.values
@@ -79,14 +83,25 @@ def nearest(a: DataFrame, b: DataFrame, k: int = K) -> DataFrame:
     """label, src, dst, w, rank: the ``k`` nearest in ``b`` of each vector of ``a``, not counting itself; ties go to
     the smaller id. A pair of blocks hands on ``k`` a vector."""
 
+    return ranked(block_pairs(a, b, nearest_of_block(k), NEAR), k)
+
+
+NEAR = "label int, src long, dst long, w double"
+
+
+def nearest_of_block(k: int):
     def emit(label, a, b, w):
         w = np.where(a["vec_id"][:, None] == b["vec_id"], np.inf, w)
         near = np.argsort(w, axis=1, kind="stable")[:, :k]  # ids rise, so ties go to the smaller
         src, dst, d = np.repeat(a["vec_id"], near.shape[1]), b["vec_id"][near].ravel(), np.take_along_axis(w, near, 1).ravel()
         return _rows(label, src=src[np.isfinite(d)], dst=dst[np.isfinite(d)], w=d[np.isfinite(d)])
 
+    return emit
+
+
+def ranked(top: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of what all blocks gave."""
     by_distance = W.partitionBy("label", "src").orderBy("w", "dst")
-    top = block_pairs(a, b, emit, "label int, src long, dst long, w double")
     return top.withColumn("rank", F.row_number().over(by_distance).cast("bigint")).where(F.col("rank") <= k)
 
 
@@ -267,8 +282,9 @@ _COMP = f"{_TOP}, b AS MATERIALIZED (SELECT label, src, dst FROM k UNION ALL SEL
 _FULL = f"{_DIST}, f AS (SELECT label, src, dst, w FROM d UNION ALL SELECT label, vec_id, vec_id, 0 FROM e)"
 _KERNEL = f"{_FULL}, a AS (SELECT label, src, dst, exp(-w * w / {EPSILON}) AS a FROM f), kk AS MATERIALIZED (SELECT label, src, dst, a / (sum(a) OVER (PARTITION BY label, src) * sum(a) OVER (PARTITION BY label, dst)) AS k FROM a)"
 
+NEIGHBOURS = f"WITH {_TOP} SELECT * FROM t"
 ORACLES = {
-    "pairwise_topk": f"WITH {_TOP} SELECT * FROM t",
+    "pairwise_topk": NEIGHBOURS,
     "knn_edges": f"WITH {_TOP} SELECT * FROM k",
     "knn_components": f"WITH RECURSIVE {_COMP} SELECT * FROM cc",
     "graph_diagnostics": f"WITH RECURSIVE {_COMP}, g AS (SELECT label, count(*) AS edges, round(avg(w), 5) AS mean_w, max(w) AS max_w, count(*) FILTER (w > 0.7) AS long_edges FROM k GROUP BY label), n AS (SELECT label, component, count(*) AS n FROM cc GROUP BY ALL) SELECT g.*, count(*) AS components, (sum(n) * (sum(n) - 1) / 2 - sum(n * (n - 1) / 2))::BIGINT AS infinite_pairs FROM g JOIN n USING (label) GROUP BY ALL",
