@@ -15,19 +15,19 @@ from lumenframe.sources.tables import table
 
 SHUFFLES = 32
 #: Ranges of digests within which rows are ranked; the ranges' counts are summed up.
-RANGES = 256
+RANGES = 65_536
 
 
 def trials(spark, sf_dir) -> DataFrame:
-    """doc_id, s, d, lang, x, y: two features of each labelled document."""
-    own = table(spark, sf_dir, "documents").select("doc_id", "lang", F.log1p(F.col("n_chars").cast("double")).alias("x"), (F.col("doc_id") % 97).cast("double").alias("y"))
+    """doc_id, s, d, lang, x, y: size and blanks of each labelled document, as logarithms."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "lang", F.log1p(F.col("n_chars").cast("double")).alias("x"), F.log1p(F.regexp_count("text", F.lit(" ")).cast("double")).alias("y"))
     return own.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("s"), F.col("toxic").cast("long").alias("d")), "doc_id")
 
 
 def shuffled_rank(frame: DataFrame, group: list[str], digest: Column, out: str) -> DataFrame:
     """The place, from 1, of each row of a group in the order of a digest, without one task for a group: ranks are
     counted within ranges of the digest, and each range starts where those before it end."""
-    own = frame.withColumn("__digest", digest).withColumn("__range", F.conv(F.substring("__digest", 1, 2), 16, 10).cast("int"))  # RANGES values
+    own = frame.withColumn("__digest", digest).withColumn("__range", F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int"))  # RANGES values
     n = own.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
     before = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     starts = n.select(*group, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
@@ -79,7 +79,7 @@ def averaging_mismatch(spark, sf_dir):
     that means keep, by position."""
     t = trials(spark, sf_dir)
     cells = t.groupBy("lang", "s", "d").agg(F.avg("x").alias("m"))
-    joined = t.join(F.broadcast(cells), ["lang", "s", "d"])  # four rows a position
+    joined = t.join(cells, ["lang", "s", "d"])
     g = joined.groupBy("lang").agg(F.avg(F.pow(F.col("x") - F.col("m"), 2)).alias("left"), F.var_pop("x").alias("var"))
     return g.select("lang", F.round("left", 7).alias("trial_mse"), F.round(1 - F.col("left") / F.greatest("var", F.lit(1e-15)), 6).alias("kept"))
 
@@ -119,7 +119,7 @@ QUERIES = {f.__name__: f for f in (variance_fractions, marginal_axes, demixing_i
 
 _PARTS = f"{_CELLS}, k AS (SELECT *, avg(m) OVER () AS grand, avg(m) OVER (PARTITION BY lang) AS t, avg(m) OVER (PARTITION BY lang, quality) AS s, avg(m) OVER (PARTITION BY lang, toxic) AS d FROM c), e AS (SELECT sum(pow(t - grand, 2)) AS position, sum(pow(s - t, 2)) AS stimulus, sum(pow(d - t, 2)) AS decision, sum(pow(m - s - d + t, 2)) AS interaction FROM k)"
 _AXIS = f"{_CELLS}, h AS (SELECT lang, max(m) FILTER (quality = 0 AND toxic = 0) AS a, max(m) FILTER (quality = 0 AND toxic = 1) AS b, max(m) FILTER (quality = 1 AND toxic = 0) AS c, max(m) FILTER (quality = 1 AND toxic = 1) AS e FROM c GROUP BY lang), w AS (SELECT lang, (c + e - a - b) / 4 AS stimulus, (b + e - a - c) / 4 AS decision, (e - c - b + a) / 4 AS interaction FROM h)"
-_TRIALS = "t AS (SELECT doc_id, quality::BIGINT AS s, toxic::BIGINT AS d, lang, ln(1 + n_chars) AS x, (doc_id % 97)::DOUBLE AS y FROM documents JOIN labels USING (doc_id))"
+_TRIALS = "t AS (SELECT doc_id, quality::BIGINT AS s, toxic::BIGINT AS d, lang, ln(1 + n_chars) AS x, ln(1 + length(text) - length(replace(text, ' ', ''))) AS y FROM documents JOIN labels USING (doc_id))"
 _DOT = ", ".join(f"sum({p} * {q}) AS {p}_{q}" for p in ("stimulus", "decision", "interaction") for q in ("stimulus", "decision", "interaction"))
 
 

@@ -75,7 +75,7 @@ def mean_baseline(spark, sf_dir):
     """Error on held-out vectors of the mean of the others, by label."""
     rows = long_vectors(spark, sf_dir).withColumn("held", F.col("vec_id") % 4 == 0)
     means = rows.where("not held").groupBy("label", "i").agg(F.avg("v").alias("m"))
-    test = rows.where("held").join(F.broadcast(means), ["label", "i"])  # a row for each label and entry
+    test = rows.where("held").join(means, ["label", "i"])
     return test.groupBy("label").agg(F.round(F.avg(F.pow(F.col("v") - F.col("m"), 2)), 9).alias("mse"))
 
 
@@ -181,7 +181,7 @@ def fixed_projection(spark, sf_dir):
     """Error of vectors projected on the direction of equal entries, about their label's mean."""
     rows = long_vectors(spark, sf_dir)
     m = rows.groupBy("label", "i").agg(F.avg("v").alias("m"))
-    d = rows.join(F.broadcast(m), ["label", "i"]).select("label", "vec_id", (F.col("v") - F.col("m")).alias("d"))  # a row for each label and entry
+    d = rows.join(m, ["label", "i"]).select("label", "vec_id", (F.col("v") - F.col("m")).alias("d"))
     one = d.groupBy("label", "vec_id").agg(F.sum(F.pow("d", 2)).alias("q"), F.sum("d").alias("s"), F.count("*").alias("p"))
     return one.groupBy("label").agg(F.round(F.avg((F.col("q") - F.col("s") * F.col("s") / F.col("p")) / F.col("p")), 9).alias("mse"))
 

@@ -39,7 +39,7 @@ def entry_moments(spark, sf_dir) -> DataFrame:
 def standardize(spark, sf_dir):
     """Moments are aggregates that meet the rows again; no label's rows come together."""
     z = (F.col("v") - F.col("mean")) / F.col("scale")
-    return long_vectors(spark, sf_dir).join(F.broadcast(entry_moments(spark, sf_dir)), ["label", "i"]).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round(z, 5).alias("z"))
+    return long_vectors(spark, sf_dir).join(entry_moments(spark, sf_dir), ["label", "i"]).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round(z, 5).alias("z"))
 
 
 #: Groups whose sums a task holds before it hands them on.
@@ -151,7 +151,7 @@ def normalized_errors(spark, sf_dir):
     """RMSE and NMSE of each vector's mean by label."""
     own = entry_moments(spark, sf_dir)
     whole = long_vectors(spark, sf_dir).groupBy("i").agg(F.avg("v").alias("g"))
-    rows = long_vectors(spark, sf_dir).join(F.broadcast(own.join(whole, "i")), ["label", "i"])  # a row for each label and entry
+    rows = long_vectors(spark, sf_dir).join(own.join(whole, "i"), ["label", "i"])
     se, total = F.avg(F.pow(F.col("v") - F.col("mean"), 2)), F.avg(F.pow(F.col("v") - F.col("g"), 2))
     return rows.groupBy("label").agg(F.round(F.sqrt(se), 6).alias("rmse"), F.round(se / F.greatest(total, F.lit(1e-15)), 6).alias("nmse"))
 

@@ -37,7 +37,7 @@ def inverse_standardize(spark, sf_dir):
     rows = long_vectors(spark, sf_dir)
     m = rows.groupBy("label", "i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
     scale = F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0)
-    z = rows.join(F.broadcast(m), ["label", "i"]).withColumn("z", (F.col("v") - F.col("mean")) / scale)  # a row for each label and entry
+    z = rows.join(m, ["label", "i"]).withColumn("z", (F.col("v") - F.col("mean")) / scale)
     back = F.col("z") * scale + F.col("mean")
     return z.groupBy("label").agg(F.round(F.avg(back), 7).alias("mean"), F.max(F.abs(back - F.col("v")) < 1e-9).alias("equal"))
 
