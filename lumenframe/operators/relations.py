@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.functions.ranks import row_numbers
+from lumenframe.functions.ranks import row_numbers, value_ranks
 from lumenframe.operators.graph import _TOP, pairwise_topk
 from lumenframe.operators.moments import DIMS, long_vectors
 from lumenframe.operators.sequence import STANDARD, persistence, standard
@@ -241,12 +241,18 @@ def date_parts(spark, sf_dir):
 
 
 def approximate_counts(spark, sf_dir):
-    """Sketches beside exact values: within five parts in a hundred."""
-    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.count_distinct("l_orderkey").alias("exact"), F.approx_count_distinct("l_orderkey", 0.01).alias("near"), F.percentile("l_extendedprice", 0.5).alias("median"), F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("near_median")
-    )
+    """Sketches beside exact values: within five parts in a hundred. Each has a grouping of its own: beside a distinct count,
+    sketches would be kept for each key; the median comes from ranks of counted values, as a group may hold any number of them."""
+    rows = table(spark, sf_dir, "lineitem").select(F.struct("l_returnflag").alias("g"), "l_orderkey", "l_extendedprice")  # a null flag inside is a group that joins
+    exact = rows.select("g", "l_orderkey").distinct().groupBy("g").agg(F.count("l_orderkey").alias("exact"))
+    near = rows.groupBy("g").agg(F.approx_count_distinct("l_orderkey", 0.01).alias("near"), F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("near_median"), (F.count("l_extendedprice") - 1).alias("last"))
+    ranked = value_ranks(rows.where("l_extendedprice is not null"), ["g"], "l_extendedprice").join(F.broadcast(near.select("g", "last")), "g")
+    holds = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
+    low, high = F.floor(F.col("last") / 2), F.ceil(F.col("last") / 2)
+    median = ranked.where(holds(low) | holds(high)).groupBy("g").agg(((F.min("l_extendedprice") + F.max("l_extendedprice")) / 2).alias("median"))  # one value or two
     close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b)
-    return g.select("l_returnflag", "exact", close("near", "exact").alias("count_close"), close("near_median", "median").alias("median_close"))
+    made = exact.join(near, "g").join(median, "g", "left")
+    return made.select("g.l_returnflag", "exact", close("near", "exact").alias("count_close"), close("near_median", "median").alias("median_close"))
 
 
 def scaled_mean(values: pd.Series, weights: pd.Series) -> float:
