@@ -57,9 +57,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return work.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def key_ends(keys: DataFrame) -> DataFrame:
-    """key, low, high (its smallest and largest node), n of the keys that several nodes have."""
-    return keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
+def key_ends(keys: DataFrame, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """key, low, high (its smallest and largest node), n of the keys that several nodes have; with ``near`` (for keys whose
+    (node, key) rows are distinct) without those of two nodes that aren't: no pair of theirs is."""
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
+    return ends if near is None else ends.where((F.col("n") > 2) | near("low", "high"))
+
+
+def _meets_end(near: Callable[[str, str], Column]) -> Column:
+    """A node has another one at an end of its key that is ``near``. Part of the join, so that keys shared by chance make no rows."""
+    return ((F.col("node") != F.col("low")) & near("node", "low")) | ((F.col("node") != F.col("high")) & near("node", "high"))
 
 
 def key_stars(keys: DataFrame, near: Callable[[str, str], Column] | None = None, ends: DataFrame | None = None) -> DataFrame:
@@ -68,8 +75,7 @@ def key_stars(keys: DataFrame, near: Callable[[str, str], Column] | None = None,
     if ends is None:
         keys = keys.checkpoint()
         ends = key_ends(keys)
-    wanted = ((F.col("node") != F.col("low")) & near("node", "low")) | ((F.col("node") != F.col("high")) & near("node", "high"))
-    met = keys.withColumnRenamed("key", "own_key").join(ends, (F.col("own_key") == F.col("key")) & wanted)
+    met = keys.withColumnRenamed("key", "own_key").join(ends, (F.col("own_key") == F.col("key")) & _meets_end(near))
     stars = met.select(F.col("node").alias("src"), F.explode(F.array("low", "high")).alias("dst")).where((F.col("src") != F.col("dst")) & near("src", "dst"))
     return stars.distinct()
 
@@ -78,7 +84,9 @@ def best_stars(keys: DataFrame, ends: DataFrame, near: Callable[[str, str], Colu
     """(src, dst): for each node the one of its keys' smallest and largest nodes that it has most keys with, where
     ``near`` holds; one row a node at most. ``keys`` may have ``own``, a component: ends in the same one don't count."""
     near = near or (lambda a, b: F.lit(True))
-    met = keys.join(ends.select("key", "low", "high"), "key").select(*keys.columns, F.explode(F.array_distinct(F.array("low", "high"))).alias("dst")).where((F.col("node") != F.col("dst")) & near("node", "dst"))
+    asked = [c for c in keys.columns if c != "key"]
+    met = keys.withColumnRenamed("key", "own_key").join(ends.select("key", "low", "high"), (F.col("own_key") == F.col("key")) & _meets_end(near))
+    met = met.select(*asked, F.explode(F.array_distinct(F.array("low", "high"))).alias("dst")).where((F.col("node") != F.col("dst")) & near("node", "dst"))
     if "own" in keys.columns:
         of = keys.select(F.col("node").alias("dst"), F.col("own").alias("dst_own")).join(ends.select(F.explode(F.array("low", "high")).alias("dst")).distinct(), "dst", "left_semi").distinct()
         met = met.join(of, "dst").where("own <> dst_own")

@@ -5,7 +5,8 @@ from itertools import combinations
 
 import corpus_pipeline
 from lumenframe.llm import copies, simhash
-from lumenframe.llm.common import table
+from lumenframe.llm.common import CLEANUP, table
+from lumenframe.llm.graph import best_stars, key_ends
 from tests.llm.test_simhash import union
 
 SCHEMA = "doc_id long, text string, source string"
@@ -90,3 +91,26 @@ def test_one_of_each_group_stays(spark):
 
 def test_empty_table(spark):
     assert copies.near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_keys_shared_by_chance_make_no_rows(spark, capsys):
+    """Far prints that share a key are told apart in the join, and a key of two of them isn't kept; the near ones stay."""
+    keys = spark.createDataFrame([(0, 1), (-1, 1), (0, 2), (1, 2), (-1, 2), (7, 3), (5, 3)], "node long, key int")
+    ends = key_ends(keys, simhash.near)
+    assert sorted(r["key"] for r in ends.collect()) == [2, 3]
+    stars = best_stars(keys, ends, near=simhash.near)
+    assert sorted(map(tuple, stars.collect())) == [(0, 1), (5, 7), (7, 5)]
+    capsys.readouterr()
+    stars.explain()
+    assert [x for x in capsys.readouterr().out.split("\n") if "Join" in x and "bit_count" in x]
+
+
+def test_shuffle_files_of_steps_go(spark, tmp_path):
+    import os
+
+    files = lambda: sum(f.startswith("shuffle_") for d in own for _, _, names in os.walk(d) for f in names)
+    own = [str(x) for x in spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+    docs = spark.createDataFrame([(*r, "x") for r in made()], SCHEMA)
+    before, setting = files(), spark.conf.get(CLEANUP, "false")
+    copies.near_copies(docs)
+    assert files() - before <= 100 and spark.conf.get(CLEANUP, "false") == setting
