@@ -59,8 +59,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def key_ends(keys: DataFrame, near: Callable[[str, str], Column] | None = None) -> DataFrame:
     """key, low, high (its smallest and largest node), n of the keys that several nodes have; with ``near`` (for keys whose
-    (node, key) rows are distinct) without those of two nodes that aren't: no pair of theirs is."""
-    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
+    (node, key) rows are distinct) without those of two nodes that aren't: no pair of theirs is. If ``keys`` have a
+    ``rank``, a node of the least one is both ends."""
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), *([F.min(F.struct("rank", "node")).alias("first")] if "rank" in keys.columns else [])).where("low <> high")
+    if "rank" in keys.columns:
+        ends = ends.select("key", F.col("first.node").alias("low"), F.col("first.node").alias("high"), "n")
     return ends if near is None else ends.where((F.col("n") > 2) | near("low", "high"))
 
 
@@ -94,7 +97,7 @@ def best_stars(keys: DataFrame, ends: DataFrame, near: Callable[[str, str], Colu
     return n.groupBy("src").agg(F.max(F.struct("n", "dst")).alias("top")).select("src", F.col("top.dst").alias("dst"))
 
 
-def link_by_keys(keys: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[str, str], Column] | None = None, stars: DataFrame | None = None) -> DataFrame:
+def link_by_keys(keys: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[str, str], Column] | None = None, stars: DataFrame | None = None, sizes: DataFrame | None = None, meet: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, key) rows -> (node, component) over links between nodes with a common key.
 
     ``near`` gives a condition on two node columns that joins apply to candidates; ``verify`` takes the
@@ -103,20 +106,28 @@ def link_by_keys(keys: DataFrame, verify: Callable[[DataFrame], DataFrame] | Non
     settles keys of up to three nodes. Once components of those links are known, only nodes outside a larger key's
     most frequent component meet the nodes of that key, so that a large group of near copies does not give all its
     pairs; no link between components is left out.
+
+    With ``stars`` (and checkpointed keys, then) ``keys`` may have a ``rank``, ``sizes`` an ``n`` a node, and ``meet`` join
+    what is left by these, from (src_key, src, src_own, src_rank, src_n) and (key, dst, dst_own, dst_rank, dst_n, major).
     """
     near = near or (lambda a, b: F.lit(True))
     verify = verify or (lambda pairs: pairs)
-    keys = keys.checkpoint()
+    keys = keys if stars is not None else keys.checkpoint()
     ends = key_ends(keys).checkpoint()
     least = 1 if stars is not None else 3
     stars = stars if stars is not None else verify(key_stars(keys, near, ends)).checkpoint()
     first = components(stars).withColumnRenamed("component", "known")
     large = keys.join(ends.where(F.col("n") > least).select("key"), "key")
-    placed = large.join(first, "node", "left").select("key", "node", F.coalesce("known", "node").alias("own"))
-    sizes = placed.groupBy("key", "own").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("n", "own")).alias("top"), F.count("*").alias("owns")).where("owns > 1").select("key", F.col("top.own").alias("major"))
-    mixed = placed.join(major, "key").checkpoint()
-    minor = mixed.where("own <> major").select(F.col("key").alias("src_key"), F.col("node").alias("src"), F.col("own").alias("src_own"))
-    other = mixed.select("key", F.col("node").alias("dst"), F.col("own").alias("dst_own"), "major")
-    meets = minor.join(other, F.expr("src_key = key and src_own <> dst_own and (dst_own = major or src < dst)") & near("src", "dst")).select("src", "dst")
+    more = [c for c in keys.columns if c not in ("node", "key")]
+    placed = large.join(first, "node", "left").select("key", "node", F.coalesce("known", "node").alias("own"), *more)
+    by_own = placed.groupBy("key", "own").agg(F.count("*").alias("n"))
+    major = by_own.groupBy("key").agg(F.max(F.struct("n", "own")).alias("top"), F.count("*").alias("owns")).where("owns > 1").select("key", F.col("top.own").alias("major"))
+    mixed = placed.join(major, "key")
+    if sizes is not None:
+        mixed, more = mixed.join(sizes, "node"), [*more, "n"]
+    mixed = mixed.checkpoint()
+    minor = mixed.where("own <> major").select(F.col("key").alias("src_key"), F.col("node").alias("src"), F.col("own").alias("src_own"), *(F.col(c).alias(f"src_{c}") for c in more))
+    other = mixed.select("key", F.col("node").alias("dst"), F.col("own").alias("dst_own"), "major", *(F.col(c).alias(f"dst_{c}") for c in more))
+    meets = meet(minor, other) if meet else minor.join(other, F.expr("src_key = key and src_own <> dst_own and (dst_own = major or src < dst)") & near("src", "dst"))
+    meets = meets.select("src", "dst")
     return components(stars.union(verify(meets.distinct())))

@@ -114,3 +114,43 @@ def test_shuffle_files_of_steps_go(spark, tmp_path):
     before, setting = files(), spark.conf.get(CLEANUP, "false")
     copies.near_copies(docs)
     assert files() - before <= 100 and spark.conf.get(CLEANUP, "false") == setting
+
+
+def test_a_crowd_of_edited_texts_gives_few_pairs(spark, monkeypatch):
+    """Copies of one text with few to many edits, cut or whole: all share most shingles, few are alike. Result as brute force;
+    what is left to compare after the stars grows with the copies, not with their square."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for k in range(500):
+        copy = base[: rng.choice((150, 150, 150, 140, 125, 118))]
+        for _ in range(rng.randint(1, 12)):
+            copy[rng.randrange(len(copy))] = f"W{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    met = []
+
+    def counting(keys, verify, **more):
+        def counted(pairs):
+            met.append(pairs.count())
+            return verify(pairs)
+
+        return link_by_keys(keys, counted, **more)
+
+    link_by_keys = copies.link_by_keys
+    monkeypatch.setattr(copies, "link_by_keys", counting)
+    got = copies.near_copies(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(4)).collect()
+    want = brute(rows)
+    assert sorted(map(tuple, got), key=str) == want
+    assert 20 < len({c for _, c in want}) < 480
+    assert sum(met) <= 10 * len(rows)
+
+
+def test_first_shared_shingles_are_in_reach(spark):
+    """Of sets of every two sizes that may be alike: a rank that leaves as many as must be shared meets, the next doesn't."""
+    sized = [(n, m, -(-(n + m) * 4 // 9)) for n in range(1, 90) for m in range(-(-n * 4 // 5), n * 5 // 4 + 1)]
+    src = [(k, 2 * k, 1, n - c + late, n) for k, (n, _, c) in enumerate(sized) for late in (0, 1)]
+    dst = [(k, 2 * k + 1, 2, m - c, m, 2) for k, (_, m, c) in enumerate(sized)]
+    minor = spark.createDataFrame(src, "src_key long, src long, src_own long, src_rank int, src_n int")
+    other = spark.createDataFrame(dst, "key long, dst long, dst_own long, dst_rank int, dst_n int, major long")
+    got = copies._in_reach(minor, other).select("src_key", "src_rank").collect()
+    assert sorted(map(tuple, got)) == [(k, n - c) for k, (n, _, c) in enumerate(sized)]
