@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import prepare
 
 
+#: Edges that a task takes at least, so that rounds over few edges don't take as many tasks as the session has partitions.
+EDGES = 1 << 15
+
+
 def _star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
@@ -34,7 +38,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
         .checkpoint()
     )
-    seen = None
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+
+    seen = state(work)
+    tasks = max(1, -(-seen[0] // EDGES))  # no round makes more edges than it gets
     for _ in range(max_rounds):
         # large star: each larger neighbour of a node is tied to the smallest of its neighbourhood
         both, low = _star(work)
@@ -46,8 +55,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(least.select("src", F.col("low").alias("dst")))
             .where("src <> dst").distinct()
         )
-        work = small.checkpoint()
-        now = tuple(work.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+        work = small.coalesce(tasks).checkpoint()
+        now = state(work)
         if now == seen:
             break
         seen = now
@@ -57,6 +66,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return work.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
+def star_edges(placed: DataFrame) -> DataFrame:
+    """(node, component) as edges (src, dst): the same components, which take one round to find again."""
+    return placed.toDF("src", "dst").where("src <> dst")
+
+
 def key_ends(keys: DataFrame, near: Callable[[str, str], Column] | None = None) -> DataFrame:
     """key, low, high (its smallest and largest node), n of the keys that several nodes have; with ``near`` (for keys whose
     (node, key) rows are distinct) without those of two nodes that aren't: no pair of theirs is. If ``keys`` have a
@@ -116,7 +130,8 @@ def link_by_keys(keys: DataFrame, verify: Callable[[DataFrame], DataFrame] | Non
     ends = key_ends(keys).checkpoint()
     least = 1 if stars is not None else 3
     stars = stars if stars is not None else verify(key_stars(keys, near, ends)).checkpoint()
-    first = components(stars).withColumnRenamed("component", "known")
+    found = components(stars)
+    first = found.withColumnRenamed("component", "known")
     large = keys.join(ends.where(F.col("n") > least).select("key"), "key")
     more = [c for c in keys.columns if c not in ("node", "key")]
     placed = large.join(first, "node", "left").select("key", "node", F.coalesce("known", "node").alias("own"), *more)
@@ -130,4 +145,4 @@ def link_by_keys(keys: DataFrame, verify: Callable[[DataFrame], DataFrame] | Non
     other = mixed.select("key", F.col("node").alias("dst"), F.col("own").alias("dst_own"), "major", *(F.col(c).alias(f"dst_{c}") for c in more))
     meets = meet(minor, other) if meet else minor.join(other, F.expr("src_key = key and src_own <> dst_own and (dst_own = major or src < dst)") & near("src", "dst"))
     meets = meets.select("src", "dst")
-    return components(stars.union(verify(meets.distinct())))
+    return components(star_edges(found).union(verify(meets.distinct())))

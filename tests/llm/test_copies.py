@@ -4,7 +4,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import corpus_pipeline
-from lumenframe.llm import copies, simhash
+from lumenframe.llm import copies, graph, simhash
 from lumenframe.llm.common import CLEANUP, table
 from lumenframe.llm.graph import best_stars, key_ends
 from tests.llm.test_simhash import union
@@ -154,3 +154,20 @@ def test_first_shared_shingles_are_in_reach(spark):
     other = spark.createDataFrame(dst, "key long, dst long, dst_own long, dst_rank int, dst_n int, major long")
     got = copies._in_reach(minor, other).select("src_key", "src_rank").collect()
     assert sorted(map(tuple, got)) == [(k, n - c) for k, (n, _, c) in enumerate(sized)]
+
+
+def test_few_edges_take_few_tasks_and_stars_one_round(spark, monkeypatch):
+    rounds, star = [], graph._star
+    monkeypatch.setattr(graph, "_star", lambda edges: rounds.append(edges.rdd.getNumPartitions()) or star(edges))
+    off, setting = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(off, "false")
+    try:
+        path = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "src long, dst long")
+        found = graph.components(path)
+        assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(41)] + [(100, 100), (101, 100)]
+        assert len(rounds) > 2 and set(rounds[1:]) == {1}
+        rounds.clear()
+        again = graph.components(graph.star_edges(found))
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect())) and len(rounds) == 1
+    finally:
+        spark.conf.set(off, setting)

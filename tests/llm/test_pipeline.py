@@ -53,3 +53,26 @@ def test_odd_rows_go_through(spark):
             assert d.columns == docs.columns, name
         corpus_pipeline.STAGES[4][1](spark, d, FOLDER).collect()
 
+
+
+def test_batches_have_a_bound_of_bytes(spark):
+    """Long texts go to Python in batches of some megabytes, not 10,000 at once; a bound that the session has stays."""
+    import pyarrow as pa
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    key = corpus_pipeline.BATCH
+    texts = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat('abcd efg ', 1000) as text", "'a' as source")
+    before = spark.conf.getAll.get(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, texts.limit(0), FOLDER)
+            assert max(r["n"] for r in texts.mapInArrow(size, "n long").collect()) <= 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(key, "12345678")
+        corpus_pipeline.STAGES[2][1](spark, texts.limit(0), FOLDER)
+        assert spark.conf.get(key) == "12345678"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
